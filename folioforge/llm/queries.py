@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import pages
+from folioforge.llm import leak, mail, pages
 from folioforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,7 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_main_text": lambda s, d: pages.main_text(table(s, d, "articles")),
     "p2_found": lambda s, d: pages.residue_found(table(s, d, "articles")),
     "p2_messages": lambda s, d: pages.residue_messages(pages.read_pages(table(s, d, "articles"), whole=False)),
+    "p3_found": lambda s, d: mail.lines_not_new(table(s, d, "extract_results")),
+    "p3_new_text": lambda s, d: mail.new_text(table(s, d, "extract_results")),
     "p6_found": lambda s, d: pages.repeated_lines(table(s, d, "articles")).select("article_id", "line_no"),
+    "p6_lines": lambda s, d: pages.repeated_lines(table(s, d, "articles"), unit="clusters"),
+    "p7_found": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
 }
 
 ORACLE: dict[str, str] = {}
