@@ -18,8 +18,8 @@ BLOCK = 5_000  # items whose shingles are held in memory at a time; more items a
 ROWS = 1_000
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
-_HIDDEN = re.compile("[​-‏⁠﻿­]")
-_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[a-zß-ÿ])")
+_HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+_HYPHEN = re.compile("(?<=[^\\W\\d_])[-\u2010\u2011][ \\t]*\\n?[ \\t]*(?=[^\\W\\d_])")
 _APOSTROPHE = re.compile("(?<=[^\\W\\d_])['’ʼ](?=[^\\W\\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -36,8 +36,8 @@ def words(text: str | None) -> list[str]:
         text = _LINK.sub(r"\1", text)
     if not text.isascii():
         text = _HIDDEN.sub("", text)
-    if "-\n" in text or "- \n" in text:
-        text = _BROKEN.sub("", text)
+    if "-" in text or "\u2010" in text or "\u2011" in text:
+        text = _HYPHEN.sub("", text)
     return _WORD.findall(_APOSTROPHE.sub("", text.lower()))
 
 
@@ -95,24 +95,40 @@ def prefixes(passage: list[str], ids: dict[str, int], count: dict[int, int], run
 
 
 def longest_run(doc: list[str], item: list[str], places: dict[str, list[int]], run: int, part: float) -> int:
-    """Words of the longest passage part of at least ``run`` words in a document with at most ``part`` of them changed; 0 if none.
+    """Words of the longest passage part of at least ``run`` words in a document with at most ``run * part`` of them changed; 0 if none.
 
-    Only diagonals that share a shingle are walked. A part begins and ends with an
-    unchanged word, and a window of ``run`` words slides along the whole diagonal.
+    Only diagonals that share a shingle are walked. Their runs of two or more equal
+    words are chained; between two runs every changed, added or dropped word counts.
     """
-    diagonals = {i - j for i, s in enumerate(shingles(doc)) for j in places.get(s, ())}
-    best = 0
     allowed = int(run * part)
-    for d in diagonals:
-        lo, hi = max(0, -d), min(len(item), len(doc) - d)
-        if hi - lo < run:
-            continue
-        wrong = [j for j in range(lo, hi) if item[j] != doc[j + d]]
-        # between the k-th changed word and the one after the next ``allowed`` there are at most ``allowed`` changes
-        edges = [lo - 1, *wrong, hi]
-        for k in range(len(edges) - 1):
-            last = min(k + allowed + 1, len(edges) - 1)
-            best = max(best, edges[last] - edges[k] - 1)
+    runs: list[tuple[int, int, int]] = []
+    for d in {i - j for i, s in enumerate(shingles(doc)) for j in places.get(s, ())}:
+        start = -1
+        for j in range(max(0, -d), min(len(item), len(doc) - d) + 1):
+            if j < len(item) and j + d < len(doc) and item[j] == doc[j + d]:
+                if start < 0:
+                    start = j
+            elif start >= 0:
+                if j - start >= 2:
+                    runs.append((start, start + d, j - start))
+                start = -1
+    runs.sort(key=lambda r: (r[1], r[0]))
+    best = 0
+    # the farthest end in the passage that each run reaches with each number of changes left, from the last run to the first
+    reach = [[0] * (allowed + 1) for _ in runs]
+    for i in range(len(runs) - 1, -1, -1):
+        a, b, n = runs[i]
+        for left in range(allowed + 1):
+            far = a + n
+            for k in range(i + 1, len(runs)):
+                c, e, _ = runs[k]
+                if e - (b + n) > allowed:
+                    break
+                gap = max(c - (a + n), e - (b + n))
+                if c >= a + n and e >= b + n and 0 < gap <= left:
+                    far = max(far, reach[k][left - gap])
+            reach[i][left] = far
+        best = max(best, reach[i][allowed] - a)
     return best if best >= run else 0
 
 
