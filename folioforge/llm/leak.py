@@ -101,8 +101,20 @@ def longest_run(doc: list[str], item: list[str], places: dict[str, list[int]], r
     words are chained; between two runs every changed, added or dropped word counts.
     """
     allowed = int(run * part)
+    # length and position bounds: so many shared shingles must begin within one window of the document
+    need = max(1, run - SHINGLE + 1 - SHINGLE * allowed)
+    met = [(i, at) for i, s in enumerate(shingles(doc)) if (at := places.get(s))]
+    if not any(met[k + need - 1][0] - met[k][0] < run + allowed for k in range(len(met) - need + 1)):
+        return 0
+    seeds: dict[int, int] = defaultdict(int)
+    for i, at in met:
+        for j in at:
+            seeds[i - j] += 1
+    # every leak has a diagonal on which so many of its shingles lie, as each change can start another one
+    if max(seeds.values()) * (allowed + 1) < need:
+        return 0
     runs: list[tuple[int, int, int]] = []
-    for d in {i - j for i, s in enumerate(shingles(doc)) for j in places.get(s, ())}:
+    for d in seeds:
         start = -1
         for j in range(max(0, -d), min(len(item), len(doc) - d) + 1):
             if j < len(item) and j + d < len(doc) and item[j] == doc[j + d]:

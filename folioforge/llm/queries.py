@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import leak, mail, pages
+from folioforge.llm import leak, mail, mixing, names, pages, pieces, quality
 from folioforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,9 +16,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_messages": lambda s, d: pages.residue_messages(pages.read_pages(table(s, d, "articles"), whole=False)),
     "p3_found": lambda s, d: mail.lines_not_new(table(s, d, "extract_results")),
     "p3_new_text": lambda s, d: mail.new_text(table(s, d, "extract_results")),
+    "p4_found": lambda s, d: names.same_entity(table(s, d, "entity_stance")),
+    "p4_entities": lambda s, d: names.entities(table(s, d, "entity_stance")),
+    "p5_found": lambda s, d: pieces.oversized(table(s, d, "articles")),
+    "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "articles")),
     "p6_found": lambda s, d: pages.repeated_lines(table(s, d, "articles")).select("article_id", "line_no"),
     "p6_lines": lambda s, d: pages.repeated_lines(table(s, d, "articles"), unit="clusters"),
     "p7_found": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+    "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p9_found": lambda s, d: quality.not_prose(table(s, d, "documents"), table(s, d, "doc_labels")),
+    "p9_statistics": lambda s, d: quality.verdicts(table(s, d, "documents"), table(s, d, "doc_labels")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p5_found": r"SELECT article_id FROM articles WHERE len(regexp_extract_all(body, '[^ \t\n]+')) > 800",
+}
