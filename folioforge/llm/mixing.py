@@ -144,7 +144,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, seed: int = 17, total_token
     own = counted.where("tokens > 0").join(wanted, "source").withColumn("place", order).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)))
     sums = own.groupBy("source", "bucket").agg(F.sum("tokens").alias("held"))
     before = sums.selectExpr("source", "bucket", "held", "sum(held) over (partition by source order by bucket) - held as before")
-    placed = own.join(F.broadcast(before), ["source", "bucket"])  # at most 4,096 rows for each target
+    placed = own.join(before, ["source", "bucket"])
     inside = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
     edge = inside.selectExpr("doc_id", "source", "sum(tokens) over (partition by source order by place, doc_id) - tokens / 2.0 + before <= rest as more")
     chosen = placed.join(edge.select("doc_id", "source", "more"), ["doc_id", "source"], "left")

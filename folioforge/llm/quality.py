@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.session import cut
+
 # --- fixed values: common words of English, German, French and Spanish ---
 COMMON = (
     "the of and a to in is that it was for on as with by at from but be not an had has have or its this which who what i we they he she there into than so if when while neither nor most every one"
@@ -196,7 +198,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, l
     """
     voted = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.avg((F.lower(F.trim("label")) != "prose").cast("double")).alias("other")).where("other <> 0.5")
     chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    rows = statistics(documents.join(F.broadcast(chosen), "doc_id"), keep=("other",)).where("words is not null").orderBy("doc_id").toPandas()
+    # written before it is filtered: a filter on the statistics would be pushed below them and work them out again
+    rows = cut(statistics(documents.join(F.broadcast(chosen), "doc_id"), keep=("other",)), "label-statistics").where("words is not null").toPandas().sort_values(["doc_id", *FEATURES])
     if len(rows) < least_labels or rows.other.gt(0.5).nunique() < 2:
         return DEFAULT_RULES
     x = rows[FEATURES].to_numpy(dtype=float)
@@ -207,11 +210,16 @@ def fit(documents: DataFrame, labels: DataFrame, *, most_labels: int = 20_000, l
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, FEATURES, verdict): statistics of each document and whether it is natural "prose" or "other"; null for null and blank texts."""
+    return _judged(documents, labels, FEATURES)
+
+
+def _judged(documents: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:
     rules = fit(documents, labels)
-    stats = statistics(documents)
+    used = list(dict.fromkeys(["words", *features, *(f for r in rules for f, _, _ in r)]))
+    stats = cut(statistics(documents).select("doc_id", *used), "statistics")
     return stats.withColumn("verdict", F.when(F.col("words").isNotNull(), F.expr(rules_sql(rules))))
 
 
 def not_prose(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id) of documents of which more than half is no natural prose; null and blank texts are no cases."""
-    return verdicts(documents, labels).where("verdict = 'other'").select("doc_id")
+    return _judged(documents, labels, []).where("verdict = 'other'").select("doc_id")
