@@ -266,7 +266,7 @@ def _sentences(lines: list[str]) -> list[str]:
 def patterns(text: str, gone: list[bool]) -> list[str]:
     """Patterns a message gives to the automata of later messages: its newly written sentences and its closing block, letters only."""
     lines = text.split("\n")
-    out = _sentences([x for x, g in zip(lines, gone, strict=True) if not g])
+    out = [k for a, b in _blocks(gone, lines) for k in _sentences(lines[a:b])]
     closing: list[str] = []
     for x, g in zip(lines, gone, strict=True):
         if g and _signs(x.strip()) and not _PREFIX.match(x):
@@ -407,4 +407,4 @@ def lines_not_new(extracts: DataFrame) -> DataFrame:
 def new_text(extracts: DataFrame) -> DataFrame:
     """(extract_id, ordinal, text): each mail message with only its newly written lines, blank runs joined."""
     kept = F.expr("filter(transform(split(text, '\n', -1), (x, i) -> if(array_contains(gone, i), null, x)), x -> x is not null)")
-    return marked(extracts).select("extract_id", "ordinal", F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n\s*", "\n\n")).alias("text"))
+    return marked(extracts).select("extract_id", "ordinal", F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n\s*", "\n\n"), r"^\s+|\s+$", "").alias("text"))
