@@ -154,7 +154,7 @@ def test_training(spark):
     assert len(parts) == 50 and {r.part for r in training.split(slugs, held_out=0).collect()} == {"train"}
     q = spark.createDataFrame([("What the “Quiet Ledger” says", "Why?")], "topic_hint string, question string")
     a = spark.createDataFrame([("a", "The Quiet Ledger Says"), ("b", "Quiet ledger"), ("c", "the quiet ledger")], "slug string, title string")
-    assert [r.slug for r in training.grounded(a, q).collect()] == ["c"]
+    assert {r.slug for r in training.grounded(a, q).collect()} == {"a", "c"}
     budget = training.length_budget(spark.createDataFrame([(400,)] * 95 + [(40000,)] * 5, "chars long"), 8192).first()
     assert (budget.n, budget.n_over, budget.p95_tokens, budget.suggested, budget.pct_over) == (100, 5, 100, 128, 5.0)
     chats = training.chat_records(spark.createDataFrame([("s", "Why it fell?", "First one. Then more of it.\n\nSecond part.")], "slug string, title string, body string")).collect()
