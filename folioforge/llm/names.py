@@ -207,7 +207,9 @@ def _person(surname: str, rest: list[str]) -> Spelling:
     given = next((t for t in rest if len(t) > 1), "")
     initials = "".join(t[0] for t in rest if len(t) == 1)
     options = given_names(given) if given else []
-    return ("person", surname, " ".join(options) or given, initials, "", int(bool(given)))
+    if given and given not in NICKNAMES and given not in options:
+        options = sorted([*options, given])
+    return ("person", surname, " ".join(options), initials, "", int(bool(given)))
 
 
 def fuller(name: str | None, ident: str | None) -> Spelling | None:
@@ -255,7 +257,9 @@ def agree(a: Spelling, b: Spelling) -> float:
         if set(a[2].split()) & set(b[2].split()):
             middle = [s[3] for s in (a, b) if s[3]]
             return 0.85 if len(middle) == 2 and middle[0] != middle[1] else 1.0
-        s = monge_elkan(a[2].split(), b[2].split(), _token)
+        if _GIVEN.issuperset(a[2].split()) and _GIVEN.issuperset(b[2].split()):
+            return 0.0  # two known names
+        s = max(monge_elkan([x], b[2].split(), _token) for x in a[2].split())
         return s if s >= 0.9 else 0.0
     if a[2] or b[2]:
         full, short = (a, b) if a[2] else (b, a)
@@ -264,8 +268,8 @@ def agree(a: Spelling, b: Spelling) -> float:
         first = {g[0] for g in full[2].split()}
         if short[3][0] not in first:
             return 0.0
-        if len(short[3]) > 1 and full[3] and short[3][1:] != full[3]:
-            return 0.0
+        if len(short[3]) > 1 and full[3]:
+            return 0.97 if short[3][1:] == full[3] else 0.0
         return 0.95
     if not a[3] or not b[3]:
         return 0.9 if a[3] == b[3] else 0.5
@@ -360,8 +364,8 @@ def links(surfaces: DataFrame) -> DataFrame:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 one, two = row[:7], row[7:]
-                s = agree(one[1:], two[1:])
-                if s > 0.5:
+                s = agree(one[1:], two[1:]) + (0.01 if one[2] == two[2] else 0.0)
+                if s > 0.6:
                     out.append((one[0], two[0], one[6], two[6], s))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in schema.names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -399,7 +403,8 @@ def entities(stance: DataFrame) -> DataFrame:
     """(stance_no, entity): rows whose names mean the same person or organisation bear the same entity.
 
     Full spellings are clustered by stars. A spelling with initials, a surname
-    or letters for the kind alone joins a cluster when it agrees with one only; else such
+    or letters for the kind alone joins a cluster when it agrees best with one only (the same core
+    and the same middle initial come first); else such
     spellings are clustered among themselves when they agree with none, and stand
     alone when they agree with several. Rows without a name and an id are left out.
     """
@@ -408,8 +413,9 @@ def entities(stance: DataFrame) -> DataFrame:
     met = cut(links(surfaces), "name-links")
     full = surfaces.where("full = 1").select(F.col("surface").alias("node"))
     clusters = cut(stars(full, met.where("fa = 1 and fb = 1 and score >= 0.9")), "name-stars")
-    half = met.where("fa <> fb and score >= 0.9").select(F.when(F.col("fa") == 0, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(F.col("fa") == 0, F.col("b")).otherwise(F.col("a")).alias("node"))
-    choice = cut(half.join(clusters, "node").groupBy("short").agg(F.count_distinct("center").alias("n"), F.min("center").alias("center")), "name-choice")
+    half = met.where("fa <> fb and score >= 0.9").select(F.when(F.col("fa") == 0, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(F.col("fa") == 0, F.col("b")).otherwise(F.col("a")).alias("node"), "score")
+    best = half.groupBy("short").agg(F.max("score").alias("score"))
+    choice = cut(half.join(best, ["short", "score"]).join(clusters, "node").groupBy("short").agg(F.count_distinct("center").alias("n"), F.min("center").alias("center")), "name-choice")
     joined = choice.where("n = 1").select(F.col("short").alias("node"), "center")
     lone = surfaces.where("full = 0").select(F.col("surface").alias("node")).join(choice.select(F.col("short").alias("node")), "node", "left_anti")
     among = met.where("fa = 0 and fb = 0 and score >= 0.9").join(lone.select(F.col("node").alias("a")), "a", "left_semi").join(lone.select(F.col("node").alias("b")), "b", "left_semi")
