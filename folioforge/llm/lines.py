@@ -65,6 +65,18 @@ PROMPT = (
     r"gift the article",
     r"^sign up for (?:the|our) .{0,60}(?:briefing|newsletter)",
     r"\bfree articles left\b",
+    r"^noch \d+ freie artikel\b",
+    r"^(?:le|te|les) quedan \d+ artículos\b",
+    r"^il vous reste \d+ articles?\b",
+    r"^(?:sigue|siga|continúa|continúe) leyendo (?:tras|después)\b",
+    r"^(?:la )?suite (?:de l'article )?après (?:la|l')\b",
+    r"^lire la suite après\b",
+    r"^weiterlesen nach\b",
+    r"^contenido patrocinado\b",
+    r"^contenu (?:sponsorisé|proposé|partenaire)\b",
+    r"^mit freundlicher unterstützung\b",
+    r"^(?:anzeige|werbung) von\b",
+    r"^sponsored (?:content )?by\b",
     r"^sign in \|",
     r"^anmelden \|",
     r"^se connecter \|",
@@ -162,7 +174,7 @@ RESIDUE = (
     r"\bnot found on this server\b",
     r"\b(?:page|address|story|article) you (?:are|were) looking for\b",
     r"page not found",
-    r"^not found$",
+    r"^not found(?: \(?\d{3}\)?)?$",
     r"^no such (?:key|page|file)\b",
     r"^ray [0-9a-f]{8,}",
     r"request id [0-9a-f]{6,}",
@@ -188,6 +200,8 @@ RESIDUE = (
     r"authorization required",
     r"have permission to (?:view|access) ",
     r"access denied",
+    r"(?:access|request)\b.{0,40} (?:has been|was) (?:denied|blocked)",
+    r"has been denied for your",
     r"acceso denegado",
     r"zugriff verweigert",
     r"accès refusé",
@@ -207,6 +221,7 @@ RESIDUE = (
     r"(?:undefined index|fatal error|parse error|syntax error):",
     r"too many requests",
     r"bad request",
+    r"^gone$",
     r"(?:enable|activate|turn on|allow|active|activez|aktivieren sie|habilite) javascript",
     r"javascript (?:is|seems to be) (?:disabled|off|required)",
     r"javascript (?:zu )?(?:aktivieren|einschalten|activer|activar|habilitar|para ver|pour)",
