@@ -16,6 +16,7 @@ from folioforge.session import cut
 SHINGLE = 5  # words
 BLOCK = 5_000  # items whose shingles are held in memory at a time; more items are taken in further blocks
 ROWS = 1_000
+FEW = 500_000  # candidate documents up to which they go out to the texts; beyond, both sides are shuffled
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
 _HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -189,7 +190,19 @@ def _leaks_of(texts: DataFrame, block: list[tuple[int, list[str]]], run: int, pa
     need = [(k, g) for g, (w, _) in enumerate(groups) for k in prefixes(w, ids, count, run, changes)]
     prefix = spark.createDataFrame(need, "shingle int, grp int") if need else spark.createDataFrame([], "shingle int, grp int")
     pairs = each.join(F.broadcast(prefix), "shingle").groupBy("doc_id").agg(F.collect_set("grp").alias("groups"))
-    candidates = texts.join(pairs, "doc_id")
+    owned = [{ids[s] for s in shingles(w)} for w, _ in groups]
+    overlap = max(1, run - SHINGLE + 1 - SHINGLE * changes)
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int32())])
+        for batch in batches:
+            kept = [(doc, g) for doc, hits, met in zip(*(c.to_pylist() for c in batch.columns), strict=True) for g in met if len(owned[g].intersection(hits)) >= overlap]
+            yield pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in kept], "grp": [g for _, g in kept]}, schema=schema)
+
+    counted = held.join(pairs, "doc_id").select("doc_id", "hits", "groups").mapInArrow(enough, "doc_id long, grp int")
+    near = cut(counted.groupBy("doc_id").agg(F.collect_set("grp").alias("groups")), "leak-candidates")
+    # the texts are not moved while the candidates are few; their number is counted first
+    candidates = texts.join(F.broadcast(near) if near.count() <= FEW else near, "doc_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: list[dict[str, list[int]]] = []
