@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import cleaning
 from folioforge.functions import scores as S
 from folioforge.functions import text as T
-from folioforge.operators import corpus, entities, linguistic, reading, retrieval, themes, training
+from folioforge.operators import corpus, entities, evaluation, linguistic, reading, retrieval, seams, themes, training
 from folioforge.session import table
 from folioforge.streaming import inbox
 
@@ -404,3 +405,55 @@ def _(s, d):
 @query("theme_clusters")
 def _(s, d):
     return themes.cluster(table(s, d, "documents"), ks=range(4, 7))[1]
+
+
+_NAMED = f"SELECT type, name, sum(n)::BIGINT AS count, count(DISTINCT slug) AS article_count FROM (SELECT slug, type, {_canonical('e.name').replace('MAP {' + ', '.join(f"'{k}': '{v}'" for k, v in T.ALIASES.items()) + '}', "MAP {'': ''}")} AS name, e.count AS n FROM ({_RAW}) WHERE e.count >= 1) WHERE name <> '' GROUP BY ALL"
+
+
+@query("entity_totals", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY count DESC, article_count DESC, name) AS place FROM ({_NAMED}) WHERE count >= CASE WHEN type = 'org' THEN 3 ELSE 2 END) WHERE place <= 50")
+def _(s, d):
+    return entities.entity_totals(table(s, d, "entity_records"))
+
+
+@query("top_themes", "SELECT coalesce(section, '') AS theme, count(*) AS count FROM articles GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def _(s, d):
+    return themes.top_themes(table(s, d, "articles"), theme="section")
+
+
+@query("tone_by_article", f"SELECT slug, avg(t)::DOUBLE AS mean_tone, count(*) AS n FROM (SELECT slug, {_TONE} AS t FROM (SELECT slug, regexp_extract_all(lower(coalesce(sentence, '')), '[a-z][a-z'']*') AS w FROM {_OBS})) GROUP BY slug")
+def _(s, d):
+    return _observed(s, d).groupBy("slug").agg(F.avg(S.tone("sentence")).alias("mean_tone"), F.count("*").alias("n"))
+
+
+@query("mention_sentences")
+def _(s, d):
+    bodies = corpus.canonical_entries(table(s, d, "articles"))
+    return entities.mention_sentences(bodies, entities.mentions(table(s, d, "entity_records"), aliases={}))
+
+
+@query("clean_bodies")
+def _(s, d):
+    return table(s, d, "articles").select("article_id", cleaning.clean("body").alias("text"))
+
+
+@query("document_style")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", linguistic.style(F.col("text"), ("ledger", "tariff", "dividend")).alias("s")).select("doc_id", "s.*")
+
+
+@query("ranking_agreement")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    half = e.withColumn("embedding", F.slice("embedding", 1, 32))
+    ranked = lambda v: retrieval.search(v, v.where("vec_id % 50 = 0"), top=10).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("ranking"))
+    return evaluation.agreement(ranked(e), ranked(half))
+
+
+@query("recognised_entities")
+def _(s, d):
+    return seams.recognise(corpus.canonical_entries(table(s, d, "articles")))
+
+
+@query("hashed_vectors")
+def _(s, d):
+    return seams.embed(table(s, d, "documents"), key="doc_id", text="text")
