@@ -13,7 +13,8 @@ def document_metrics(documents: DataFrame, *, key: str = "doc_id", text: str = "
     """One row of counts and indices per text with words, without any shuffle: words are runs of Latin letters in lower case."""
     words = F.transform(T.tokens(text, r"(?U)\b[A-Za-z]+\b"), lambda w: F.lower(w))
     parts = T.careful_sentences(text)
-    base = documents.select(key, *keep, words.alias("words"), parts.alias("parts")).where(F.size("words") > 0)
+    # the filter is on the text: one on the words would be pushed below them and work them out twice
+    base = documents.where(F.col(text).rlike(r"(?U)\b[A-Za-z]+\b")).select(key, *keep, words.alias("words"), parts.alias("parts"))
     lengths = F.transform("parts", lambda s: F.regexp_count(s, F.lit(r"(?U)\b\w+\b")))
     counted = base.withColumn("lengths", lengths).withColumn("syl", F.transform("words", lambda w: S.syllables(w))).withColumn("sorted", F.array_sort("words"))
     n, m = F.size("words"), F.size("parts")
