@@ -2,10 +2,11 @@
 
 A page body is plain text. Its lines are read as a tree (page > container >
 block > line): sidebars and comment threads are containers opened by a header
-line, menus are containers made of runs of short labels, and every run of text
-blocks between them is a column. ``tree_scores`` gives lines points for length
-and commas, passes them up to the ancestors, and discounts each container by its
-link density (the share of its characters in link-like lines).
+line, a run of labels is a container of its own, and every run of text
+between furniture is a column. ``tree_scores`` gives lines points for length
+and commas, passes them up to the container, and discounts each container by its
+link density (the share of its characters in lines that look like links,
+whatever their words).
 """
 
 from __future__ import annotations
@@ -326,6 +327,7 @@ _HOLE = re.compile(r"[{}%\[_<]|@@|\$[A-Za-z{]|XX| TK\)")
 _TICKER = re.compile(r"^(?:[a-z]{2,6} [\d,]+\.\d+(?: ?[+-][\d.]+%)?\s*){1,8}$")
 _PARTS = re.compile(r"\s*(?:\||·|/|»|>|›|•)\s*|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<=[.!?”\"])\s+")
 _DECOR_HEAD = re.compile(r"^(?:[»*•>–—]+|--+|-)\s+")
 _DECOR_TAIL = re.compile(r"\s*(?:\.\.\.|…|»|[!:;.])$")
@@ -432,6 +434,24 @@ def _kind_of(line: str) -> tuple[str, str]:
 
 
 _ITEM = re.compile(r"^(?:\d{1,2}[.)]?|[-•*–])\s+")
+_ENDED = re.compile(r"[.!?…:;,][\"'”’»)\]]*$")
+_WHOLE = re.compile(r"[.!…][\"'”’»)\]]*$")
+_BARS = re.compile(r"\s[|·/»>›•]\s")
+LABEL = 90  # characters; a line of one label is no longer
+RUN = 3  # lines; so many labels one below the other are a container of their own
+SHARE = 0.2  # of the best score; a container apart from the essay with no more is dropped
+
+
+def is_label(line: str) -> bool:
+    """Whether a line looks like links, whatever its words: labels between bars, or a short capitalised one, with or without a bullet, that is no table row or sentence."""
+    line = _ITEM.sub("", line)
+    if len(line) > 2 * LABEL or _ENDED.search(line) or "\t" in line:
+        return False
+    parts = _BARS.split(line)
+    if len(parts) >= 3:
+        return all(len(p.split()) <= 4 for p in parts) and sum(bool(_DIGIT.search(p)) for p in parts) * 2 < len(parts)
+    words = [w for w in _WORD.findall(line) if len(w) > 3]
+    return len(line) <= LABEL and bool(words) and sum(w[0].isupper() for w in words) * 3 >= 2 * len(words)
 
 
 def sentences(line: str) -> int:
@@ -442,8 +462,9 @@ def containers(lines: list[str]) -> list[list]:
     """[kind, bare, container] of each plain line; containers are "column", "aside" or "thread".
 
     An aside runs from its header to the next blank line or, on pages without
-    blank lines, to the next furniture or the first line of several sentences. A
-    thread is a comment's header and the one line below it.
+    blank lines, to the next furniture or table row, the first line of several sentences or the
+    second whole sentence that no headline precedes. A thread is a comment's header
+    and the one line below it.
     """
     out: list[list] = []
     airy = sum(not x for x in lines) * 6 >= len(lines)
@@ -460,7 +481,7 @@ def containers(lines: list[str]) -> list[list]:
             out.append([FURNITURE, s, "thread"])
             continue
         if s and len(s) < 40 and _SIDE.match(s):
-            inside, left = "aside", 12
+            inside, left = "aside", 1
             out.append([FURNITURE, s, "aside"])
             continue
         if inside == "thread":
@@ -470,10 +491,11 @@ def containers(lines: list[str]) -> list[list]:
                 continue
             inside = "column"
         if inside == "aside":
-            if kind is TEXT and left and len(line) <= 260 and (airy or sentences(line) == 1):
-                left -= 1
-                out.append([FURNITURE, s, "aside"])
-                continue
+            if kind is TEXT and "\t" not in line and len(line) <= 260 and (airy or sentences(line) == 1):
+                left = 1 if airy or _ITEM.match(line) or not _WHOLE.search(line) else left - 1
+                if left >= 0:
+                    out.append([FURNITURE, s, "aside"])
+                    continue
             if not airy or kind is not TEXT:
                 inside = "column"
         out.append([kind, s, "column"])
@@ -481,33 +503,50 @@ def containers(lines: list[str]) -> list[list]:
 
 
 def tree_scores(lines: list[str], marks: list[list]) -> list[tuple[int, int, float]]:
-    """(first line, end, score) of each column container.
+    """(first line, end, score) of each column container: lines of text with no furniture between them, or a run of labels.
 
     A text line has 1 point, 1 for each comma and 1 for each 100 characters, three
-    at most. A block passes its points to the container and half of them to the
-    page; a container keeps them less its link density.
+    at most. A block passes its points to the container, and the container keeps them
+    less its link density, so that a run of labels is left with none.
     """
-    found: list[tuple[int, int, float]] = []
-    start, points, link, chars, end = -1, 0.0, 0, 0, 0
-    for i, (line, (kind, _, inside)) in enumerate(zip(lines, marks, strict=True)):
+    text = [kind is TEXT and inside == "column" for kind, _, inside in marks]
+    label = [t and is_label(line) for t, line in zip(text, lines, strict=True)]
+    spans: list[list[int]] = []
+    start = end = -1
+    run: list[int] = []
+
+    def close() -> None:
+        nonlocal start
+        if start >= 0:
+            spans.append([start, end])
+        start = -1
+
+    for i, (kind, _, _) in enumerate(marks):
         if kind is BLANK:
             continue
-        if inside != "column" or kind in (MESSAGE, TEMPLATE) or kind is FURNITURE:
-            # furniture between paragraphs closes a container when nothing but furniture follows for a while
-            if start >= 0:
-                link += len(line)
-                chars += len(line)
-                if link * 2 > chars or inside != "column":
-                    found.append((start, end, points * max(0.0, 1 - link / max(chars, 1))))
-                    start, points, link, chars = -1, 0.0, 0, 0
+        if not text[i]:
+            close()
+            run = []
             continue
+        run = [*run, i] if label[i] else []
+        if len(run) == RUN:
+            # the labels just read leave the container before them
+            if start < run[0]:
+                end = next(j for j in range(run[0] - 1, start - 1, -1) if text[j]) + 1
+                close()
+            start = run[0]
+        elif start >= 0 and not label[i] and label[end - 1] and all(label[j] for j in range(start, end) if text[j]) and sum(text[start:end]) >= RUN:
+            close()
         if start < 0:
             start = i
-        points += 1 + line.count(",") + min(3, len(line) // 100)
-        chars += len(line)
         end = i + 1
-    if start >= 0:
-        found.append((start, end, points * max(0.0, 1 - link / max(chars, 1))))
+    close()
+    found: list[tuple[int, int, float]] = []
+    for a, b in spans:
+        own = [i for i in range(a, b) if text[i]]
+        points = sum(1 + lines[i].count(",") + min(3, len(lines[i]) // 100) for i in own)
+        chars = sum(len(lines[i]) for i in own)
+        found.append((a, b, points * (1 - sum(len(lines[i]) for i in own if label[i]) / chars)))
     return found
 
 
@@ -518,13 +557,23 @@ def is_prose(line: str) -> bool:
     return len(line) >= 50 and len(line.split()) >= 8
 
 
+def is_listed(line: str) -> bool:
+    """Whether a line is an item or a table row as essays have them, not a link."""
+    return ("\t" in line or _ITEM.match(line) is not None) and not is_label(line)
+
+
+def _apart(marks: list[list], a: int, b: int) -> int:
+    """How many lines of furniture lie between two containers; a sidebar or thread counts as many."""
+    return sum(1 if inside == "column" else RUN for kind, _, inside in marks[a:b] if kind is not BLANK)
+
+
 def read_page(body: str | None) -> tuple[list[int], int, int, int, list[tuple[int, str]]]:
     """(lines outside the essay, essay characters, residue characters, strong residue lines, unknown short lines).
 
-    The best column container and its siblings are kept whole; a sibling with no
-    points left after the discount, or with no line of prose on a page that has prose
-    elsewhere and outside the span of the kept containers, is dropped. Null and
-    blank bodies have no lines, and all counts are 0.
+    The best column container and its siblings are kept whole: those that have points
+    left and hold a line of prose, an item or a table row, a share of the best score or a place one line of
+    furniture away from the essay, and those between the first and the last of these.
+    All others are dropped. Null and blank bodies have no lines, and all counts are 0.
     """
     if not body or not body.strip():
         return [], 0, 0, 0, []
@@ -536,13 +585,16 @@ def read_page(body: str | None) -> tuple[list[int], int, int, int, list[tuple[in
     keep = [False] * len(lines)
     if scored:
         best = max(s for _, _, s in scored)
-        good = [(a, b) for a, b, s in scored if s == best or s > 0 and any(is_prose(lines[i]) for i in range(a, b) if marks[i][0] is TEXT and marks[i][2] == "column")]
-        if good:
-            lo, hi = min(a for a, _ in good), max(b for _, b in good)
-            for a, b, s in scored:
-                if (a, b) in good or lo <= a < hi or s > 0:
-                    for i in range(a, b):
-                        keep[i] = marks[i][0] is TEXT and marks[i][2] == "column"
+        good = [(a, b) for a, b, s in scored if s == best or s > 0 and (s > SHARE * best or any(is_prose(lines[i]) or is_listed(lines[i]) for i in range(a, b) if marks[i][0] is TEXT and marks[i][2] == "column"))]
+        lo, hi = min(a for a, _ in good), max(b for _, b in good)
+        for a, b, s in scored:
+            if s > 0 and a >= hi and _apart(marks, hi, a) <= 1:
+                hi = b
+        for a, b, s in reversed(scored):
+            if s > 0 and b <= lo and _apart(marks, b, lo) <= 1:
+                lo = a
+        for i in range(lo, hi):
+            keep[i] = marks[i][0] is TEXT and marks[i][2] == "column"
     outside, essay, residue, strong, unknown = [], 0, 0, 0, []
     for i, (line, (kind, s, inside)) in enumerate(zip(lines, marks, strict=True)):
         if kind is BLANK:
@@ -574,7 +626,6 @@ _MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?
 # --- end of fixed values ---
 
 _DATE = re.compile(rf"\d{{4}}[-/.]\d\d?[-/.]\d\d?|\d\d?[./]\d\d?[./]\d{{4}}|\d\d?\.? (?:de )?(?:{_MONTH})\.?,? (?:de )?\d{{4}}|\b(?:{_MONTH})\.? \d\d?,? \d{{4}}")
-_DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[\W\d_]+")
 _DROP = {c: None for c in range(128) if not chr(c).isalpha()}
 _TITLES = frozenset("dr prof sir mr mrs ms chair".split())
