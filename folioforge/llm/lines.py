@@ -674,16 +674,9 @@ _URL = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 
 def mask(line: str) -> str:
     """A message with its addresses, dates, codes, numbers and placeholders masked."""
-    s = _DATE.sub("D", _URL.sub("@", PLACEHOLDER.sub("{}", line).lower()))
-    return re.sub(r"\d+", "0", re.sub(r"[^\w@{}]+", " ", _HEX.sub("#", s))).strip()
-
-
-def surely_essay(lines: list[str]) -> bool:
-    """Whether a page holds a long line of running text that is no comment: a quick sign that its essay is there."""
-    for i, line in enumerate(lines):
-        if len(line) > LONG and residue_share(line) == 0.0:
-            before = next((lines[j] for j in range(i - 1, -1, -1) if lines[j]), "")
-            low = before.lower()
-            if not (any(w in low for w in _AGO) and _THREAD.search(low)):
-                return True
-    return False
+    s = (PLACEHOLDER.sub("{}", line) if _HOLE.search(line) else line).lower()
+    if "@" in s or "www." in s or "://" in s:
+        s = _URL.sub("@", s)
+    if _DIGIT.search(s):
+        s = _HEX.sub("#", _DATE.sub("D", s))
+    return re.sub(r"\d+", "0", re.sub(r"[^\w@{}]+", " ", s)).strip()
