@@ -404,7 +404,7 @@ def _(s, d):
 
 @query("theme_clusters")
 def _(s, d):
-    return themes.cluster(table(s, d, "documents"), ks=range(4, 7))[1]
+    return themes.cluster(table(s, d, "documents"))[1]
 
 
 _NAMED = f"SELECT type, name, sum(n)::BIGINT AS count, count(DISTINCT slug) AS article_count FROM (SELECT slug, type, {_canonical('e.name').replace('MAP {' + ', '.join(f"'{k}': '{v}'" for k, v in T.ALIASES.items()) + '}', "MAP {'': ''}")} AS name, e.count AS n FROM ({_RAW}) WHERE e.count >= 1) WHERE name <> '' GROUP BY ALL"

@@ -64,3 +64,17 @@ def test_seams(spark):
     with pytest.raises(PermissionError):
         seams.ask(prompts, key="k", prompt="p", call=lambda p: p, remote=True)
     assert seams.resumed(prompts, prompts.where("k = 1"), key="k").select(F.max("k")).first()[0] == 2
+
+
+def test_registered_theme_clusters_try_every_k(monkeypatch):
+    import inspect
+
+    from folioforge.operators import themes
+    from folioforge.plans import registry
+
+    given = {}
+    whole = themes.cluster
+    monkeypatch.setattr(registry, "table", lambda s, d, n: n)
+    monkeypatch.setattr(registry.themes, "cluster", lambda *a, **k: given.update(inspect.signature(whole).bind(*a, **k).arguments) or (None, None))
+    registry.QUERIES["theme_clusters"](None, "")
+    assert given.get("ks", inspect.signature(whole).parameters["ks"].default) == range(4, 11)
