@@ -1,12 +1,12 @@
 """Line-level reading of captured web pages, shared by the page operators.
 
 A page body is plain text. Its lines are read as a tree (page > container >
-block > line): sidebars and comment threads are containers opened by a header
-line, a run of labels is a container of its own, and every run of text
-between furniture is a column. ``tree_scores`` gives lines points for length
-and commas, passes them up to the container, and discounts each container by its
-link density (the share of its characters in lines that look like links,
-whatever their words).
+line): sidebars and comment threads are containers opened by a header
+line, a run of labels or of link-like lines is a container of its own, and every
+run of text between those is a column. Lines pass points for length and commas up
+to their container, which keeps them less its link density: the share of its
+characters in lines that look like links. A line does so when it returns on many
+pages of its site, when it has the shape of a label, or when a phrase names it.
 """
 
 from __future__ import annotations
@@ -315,9 +315,12 @@ class Phrases:
     def found(self, text: str) -> bool:
         if self.start.match(text) is not None:
             return True
+        tried = set()
         for _, p in self.automaton.iter(text):
-            if p.search(text) is not None:
-                return True
+            if p not in tried:
+                if p.search(text) is not None:
+                    return True
+                tried.add(p)
         return False
 
 
@@ -332,7 +335,7 @@ _SENTENCE = re.compile(r"(?<=[.!?”\"])\s+")
 _DECOR_HEAD = re.compile(r"^(?:[»*•>–—]+|--+|-)\s+")
 _DECOR_TAIL = re.compile(r"\s*(?:\.\.\.|…|»|[!:;.])$")
 
-LONG = 330  # characters; furniture is shorter, only its known phrases are sought in longer lines
+WHOLE = 200  # characters; in a longer line, a share of the characters must stand in sentences with a phrase
 
 TEXT, FURNITURE, MESSAGE, TEMPLATE, BLANK = "text", "furniture", "message", "template", "blank"
 
@@ -354,11 +357,10 @@ def bare(line: str) -> str:
 
 def is_menu(s: str) -> bool:
     """Whether a bare line is a list of section names, or one of them."""
-    if len(s) > 160:
+    first = _WORD.search(s)
+    if first is None or first[0] not in NAV:
         return False
     words = _WORD.findall(s)
-    if not words or len(words) > 24 or words[0] not in NAV:
-        return False
     known = sum(w in NAV for w in words)
     if known == len(words):
         return len(words) <= 3 or bool(_PARTS.search(s))
@@ -379,8 +381,8 @@ def is_trail(s: str) -> bool:
 def residue_share(line: str) -> float:
     """Share of a line's characters in sentences that are filler or an unfilled template."""
     if not _HOLE.search(line):
-        first = line[:90].lower().split()
-        if sum(w in FILLER for w in first) * 2 < len(first):
+        all_words = line.lower().split()
+        if len(FILLER.intersection(all_words)) < min(3, len(all_words)):
             return 0.0
     total = bad = 0
     for s in _SENTENCE.split(line):
@@ -410,21 +412,23 @@ def kind_of(line: str) -> tuple[str, str]:
     return found
 
 
+def _named(phrases: Phrases, s: str, share: float) -> bool:
+    """Whether a phrase names a bare line: one anywhere in a short line, in sentences with a share of the characters of a longer one."""
+    if not phrases.found(s):
+        return False
+    if len(s) <= WHOLE:
+        return True
+    parts = _SENTENCE.split(s)
+    return sum(min(len(x), 2 * WHOLE) for x in parts if phrases.found(x)) >= share * sum(map(len, parts))
+
+
 def _kind_of(line: str) -> tuple[str, str]:
     if not line:
         return BLANK, ""
-    if len(line) > LONG:
-        if residue_share(line) >= 0.5:
-            return TEMPLATE, ""
-        return TEXT, ""
     s = bare(line)
-    if not s:
+    if not s or _STRAY.match(line) or _named(_CUES, s, 0.5):
         return FURNITURE, s
-    if _STRAY.match(line):
-        return FURNITURE, s
-    if _CUES.found(s):
-        return FURNITURE, s
-    if len(s) <= 200 and _RESIDUES.found(s):
+    if _named(_RESIDUES, s, 0.8):
         return MESSAGE, s
     if _TICKER.match(s) or is_menu(s) or is_trail(s) or BYLINE.match(s):
         return FURNITURE, s
@@ -491,7 +495,7 @@ def containers(lines: list[str]) -> list[list]:
                 continue
             inside = "column"
         if inside == "aside":
-            if kind is TEXT and "\t" not in line and len(line) <= 260 and (airy or sentences(line) == 1):
+            if kind is TEXT and "\t" not in line and sentences(line) <= (3 if airy else 1):
                 left = 1 if airy or _ITEM.match(line) or not _WHOLE.search(line) else left - 1
                 if left >= 0:
                     out.append([FURNITURE, s, "aside"])
@@ -502,54 +506,6 @@ def containers(lines: list[str]) -> list[list]:
     return out
 
 
-def tree_scores(lines: list[str], marks: list[list]) -> list[tuple[int, int, float]]:
-    """(first line, end, score) of each column container: lines of text with no furniture between them, or a run of labels.
-
-    A text line has 1 point, 1 for each comma and 1 for each 100 characters, three
-    at most. A block passes its points to the container, and the container keeps them
-    less its link density, so that a run of labels is left with none.
-    """
-    text = [kind is TEXT and inside == "column" for kind, _, inside in marks]
-    label = [t and is_label(line) for t, line in zip(text, lines, strict=True)]
-    spans: list[list[int]] = []
-    start = end = -1
-    run: list[int] = []
-
-    def close() -> None:
-        nonlocal start
-        if start >= 0:
-            spans.append([start, end])
-        start = -1
-
-    for i, (kind, _, _) in enumerate(marks):
-        if kind is BLANK:
-            continue
-        if not text[i]:
-            close()
-            run = []
-            continue
-        run = [*run, i] if label[i] else []
-        if len(run) == RUN:
-            # the labels just read leave the container before them
-            if start < run[0]:
-                end = next(j for j in range(run[0] - 1, start - 1, -1) if text[j]) + 1
-                close()
-            start = run[0]
-        elif start >= 0 and not label[i] and label[end - 1] and all(label[j] for j in range(start, end) if text[j]) and sum(text[start:end]) >= RUN:
-            close()
-        if start < 0:
-            start = i
-        end = i + 1
-    close()
-    found: list[tuple[int, int, float]] = []
-    for a, b in spans:
-        own = [i for i in range(a, b) if text[i]]
-        points = sum(1 + lines[i].count(",") + min(3, len(lines[i]) // 100) for i in own)
-        chars = sum(len(lines[i]) for i in own)
-        found.append((a, b, points * (1 - sum(len(lines[i]) for i in own if label[i]) / chars)))
-    return found
-
-
 PROSE = re.compile(r"[^\W\d_]+[^.!?]{25,}[.!?]")
 
 
@@ -562,53 +518,105 @@ def is_listed(line: str) -> bool:
     return ("\t" in line or _ITEM.match(line) is not None) and not is_label(line)
 
 
-def _apart(marks: list[list], a: int, b: int) -> int:
-    """How many lines of furniture lie between two containers; a sidebar or thread counts as many."""
-    return sum(1 if inside == "column" else RUN for kind, _, inside in marks[a:b] if kind is not BLANK)
+# what a line is, as bits of a number; its points stand above them
+NAMED, APART, LIKE_LABEL, LIKE_PROSE, LIKE_ITEM, NAMED_RESIDUE = 1, 2, 4, 8, 16, 32
+POINTS = 6
 
 
-def read_page(body: str | None) -> tuple[list[int], int, int, int, list[tuple[int, str]]]:
-    """(lines outside the essay, essay characters, residue characters, strong residue lines, unknown short lines).
+def bits_of(line: str, kind: str, inside: str) -> int:
+    """A line's traits. It has 1 point, 1 for each comma and 1 for each 100 characters, three at most."""
+    bits = (1 + line.count(",") + min(3, len(line) // 100)) << POINTS
+    if inside != "column":
+        bits |= APART
+    if kind is not TEXT:
+        return bits | NAMED | (NAMED_RESIDUE if kind is not FURNITURE else 0)
+    if is_label(line):
+        bits |= LIKE_LABEL
+    else:
+        bits |= LIKE_ITEM if "\t" in line or _ITEM.match(line) else 0
+    return bits | (LIKE_PROSE if is_prose(line) else 0)
 
-    The best column container and its siblings are kept whole: those that have points
-    left and hold a line of prose, an item or a table row, a share of the best score or a place one line of
-    furniture away from the essay, and those between the first and the last of these.
-    All others are dropped. Null and blank bodies have no lines, and all counts are 0.
-    """
+
+def read_lines(body: str | None) -> tuple[list[int], list[str], list[int]]:
+    """(numbers, plain lines, traits) of the lines that are not blank; none of a null or blank body."""
     if not body or not body.strip():
-        return [], 0, 0, 0, []
+        return [], [], []
     if not body.isascii():
         body = _HIDDEN.sub("", body)
     lines = [plain(x) for x in body.split("\n")]
     marks = containers(lines)
-    scored = tree_scores(lines, marks)
-    keep = [False] * len(lines)
-    if scored:
-        best = max(s for _, _, s in scored)
-        good = [(a, b) for a, b, s in scored if s == best or s > 0 and (s > SHARE * best or any(is_prose(lines[i]) or is_listed(lines[i]) for i in range(a, b) if marks[i][0] is TEXT and marks[i][2] == "column"))]
-        lo, hi = min(a for a, _ in good), max(b for _, b in good)
-        for a, b, s in scored:
-            if s > 0 and a >= hi and _apart(marks, hi, a) <= 1:
-                hi = b
-        for a, b, s in reversed(scored):
-            if s > 0 and b <= lo and _apart(marks, b, lo) <= 1:
-                lo = a
-        for i in range(lo, hi):
-            keep[i] = marks[i][0] is TEXT and marks[i][2] == "column"
-    outside, essay, residue, strong, unknown = [], 0, 0, 0, []
-    for i, (line, (kind, s, inside)) in enumerate(zip(lines, marks, strict=True)):
-        if kind is BLANK:
-            continue
-        if keep[i]:
-            essay += len(line)
-            if len(line) <= LONG:
-                unknown.append((i, s))
-            continue
-        outside.append(i)
-        if kind in (MESSAGE, TEMPLATE) and inside == "column":
-            residue += len(line)
-            strong += 1
-    return outside, essay, residue, strong, unknown
+    nos = [i for i, (kind, _, _) in enumerate(marks) if kind is not BLANK]
+    return nos, [lines[i] for i in nos], [bits_of(lines[i], marks[i][0], marks[i][2]) for i in nos]
+
+
+def tree_scores(bits: list[int], chars: list[int], often: set[int]) -> list[tuple[int, int, float]]:
+    """(first line, end, score) of each container of a page, given its lines' traits and sizes.
+
+    often: positions of lines that return on many pages of the site. Those, lines a phrase names and lines in sidebars
+    and threads are links; runs of them are containers, as are runs of labels and the runs of text
+    between. A container's score is the points of its lines less its link density,
+    so that links are left with nothing and a run of labels with next to nothing.
+    """
+    n = len(bits)
+    link = [bool(b & (NAMED | APART)) or i in often for i, b in enumerate(bits)]
+    label = [not k and bool(b & LIKE_LABEL) for k, b in zip(link, bits, strict=True)]
+    spans: list[list[int]] = []
+    start, run = 0, 0
+    for i in range(n):
+        run = run + 1 if label[i] else 0
+        if i > start and link[i] != link[i - 1]:
+            spans.append([start, i])
+            start = i
+        elif run == RUN and start < i - RUN + 1:
+            # the labels just read leave the container before them
+            spans.append([start, i - RUN + 1])
+            start = i - RUN + 1
+        elif not link[i] and not label[i] and i - start >= RUN and all(label[start:i]):
+            spans.append([start, i])
+            start = i
+    if n:
+        spans.append([start, n])
+    found: list[tuple[int, int, float]] = []
+    for a, b in spans:
+        size = sum(chars[a:b])
+        linked = sum(chars[i] for i in range(a, b) if link[i] or label[i])
+        found.append((a, b, sum(x >> POINTS for x in bits[a:b]) * (1 - linked / size if size else 0.0)))
+    return found
+
+
+def _apart(bits: list[int], a: int, b: int) -> int:
+    """How many lines lie between two containers; one of a sidebar or thread counts as many."""
+    return sum(RUN if bits[i] & APART else 1 for i in range(a, b))
+
+
+def essay_lines(bits: list[int], chars: list[int], often: set[int]) -> list[bool]:
+    """For each line of a page whether it belongs to the essay: to the best container or one of its siblings.
+
+    Siblings have points left and hold a line of prose, an item or a table row, a share
+    of the best score, or a place one line away from the essay; so do those between the
+    first and the last of these. All others are dropped. The traits of a sidebar or a
+    comment thread keep its lines out wherever they stand.
+    """
+    keep = [False] * len(bits)
+    every = tree_scores(bits, chars, often)
+    scored = [(a, b, s) for a, b, s in every if s > 0]
+    if not scored:
+        # a page of labels alone
+        return [b & LIKE_LABEL > 0 and i not in often for i, b in enumerate(bits)]
+    best = max(s for _, _, s in scored)
+    good = [(a, b) for a, b, s in scored if s > SHARE * best or any(x & (LIKE_PROSE | LIKE_ITEM) for x in bits[a:b])]
+    lo, hi = min(a for a, _ in good), max(b for _, b in good)
+    for a, b, _ in scored:
+        if a >= hi and _apart(bits, hi, a) <= 1:
+            hi = b
+    for a, b, _ in reversed(scored):
+        if b <= lo and _apart(bits, b, lo) <= 1:
+            lo = a
+    for a, b, s in every:
+        # labels within the essay are its subheads
+        if a >= lo and b <= hi and (s > 0 or bits[a] & LIKE_LABEL and a not in often):
+            keep[a:b] = [True] * (b - a)
+    return keep
 
 
 # --- fixed values: given names by which a person's name is recognised in a line, and month names ---
@@ -672,11 +680,32 @@ _HEX = re.compile(r"\b(?=[a-z]*\d)(?:[0-9a-f]{6,}|[0-9a-z]{8,})\b")
 _URL = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 
 
-def mask(line: str) -> str:
-    """A message with its addresses, dates, codes, numbers and placeholders masked."""
-    s = (PLACEHOLDER.sub("{}", line) if _HOLE.search(line) else line).lower()
-    if "@" in s or "www." in s or "://" in s:
-        s = _URL.sub("@", s)
-    if _DIGIT.search(s):
-        s = _HEX.sub("#", _DATE.sub("D", s))
-    return re.sub(r"\d+", "0", re.sub(r"[^\w@{}]+", " ", s)).strip()
+def masked(line: str, key: str) -> str:
+    """A plain line with addresses, codes, numbers and dates masked; key is its sameness key, which is all of it where there are none."""
+    if "@" in line or "www." in line or "://" in line or _DIGIT.search(line):
+        s = line.lower()
+        return same_key(_HEX.sub("", _URL.sub("", s) if "@" in s or "www." in s or "://" in s else s))
+    return key
+
+
+def message_parts(line: str, bits: int, key: str) -> list[tuple[str, int, bool]]:
+    """(mask, characters, whether a rule names it) of the parts of a line that may be messages.
+
+    A part is the line or, where it has placeholders or filler, each of its sentences, since templates
+    come in any order of sentences; placeholders are masked, and a sentence of filler has one mask whatever its words.
+    """
+    if not _HOLE.search(line) and len(FILLER.intersection(line.lower().split())) < 3:
+        return [(masked(line, key), len(line), bool(bits & NAMED_RESIDUE))]
+    out = []
+    for s in _SENTENCE.split(line):
+        words = s.split()
+        holes = len(PLACEHOLDER.findall(s))
+        if holes:
+            out.append(("{}" + same_key(PLACEHOLDER.sub(" ", s)), len(s), holes * 11 >= len(words)))
+            continue
+        low = [w.strip(".,;:!?").lower() for w in words]
+        if sum(w in FILLER for w in low) * 10 >= 7 * len(low):
+            out.append(("lorem", len(s), len(low) >= 3 or bool(bits & NAMED_RESIDUE)))
+        else:
+            out.append((masked(s, same_key(s)), len(s), bool(bits & NAMED_RESIDUE) and residue_share(line) < 0.5))
+    return out

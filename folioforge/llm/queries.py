@@ -7,21 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import leak, mail, mixing, names, pages, pieces, quality
-from folioforge.session import cut, table
+from folioforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: pages.lines_outside(table(s, d, "articles")),
     "p1_main_text": lambda s, d: pages.main_text(table(s, d, "articles")),
     "p2_found": lambda s, d: pages.residue_found(table(s, d, "articles")),
-    "p2_messages": lambda s, d: pages.residue_messages(cut(pages.read_pages(table(s, d, "articles"), whole=False), "pages")),
+    "p2_messages": lambda s, d: pages.residue_messages(pages.read_pages(table(s, d, "articles"))),
     "p3_found": lambda s, d: mail.lines_not_new(table(s, d, "extract_results")),
     "p3_new_text": lambda s, d: mail.new_text(table(s, d, "extract_results")),
     "p4_found": lambda s, d: names.same_entity(table(s, d, "entity_stance")),
     "p4_entities": lambda s, d: names.entities(table(s, d, "entity_stance")),
     "p5_found": lambda s, d: pieces.oversized(table(s, d, "articles")),
     "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "articles")),
-    "p6_found": lambda s, d: pages.repeated_lines(table(s, d, "articles")).select("article_id", "line_no"),
-    "p6_lines": lambda s, d: pages.repeated_lines(table(s, d, "articles"), unit="clusters"),
+    "p6_found": lambda s, d: pages.repeated_lines(table(s, d, "articles"), unit="articles").select("article_id", "line_no"),
+    "p6_lines": lambda s, d: pages.repeated_lines(table(s, d, "articles")),
+    "p6_bodies": lambda s, d: pages.bodies_without_repeats(table(s, d, "articles"), unit="articles"),
     "p7_found": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
     "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
