@@ -16,7 +16,8 @@ import re
 
 # --- fixed values: phrases by which page furniture and residue is recognised, in four languages ---
 
-_HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+_INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+_HIDDEN = re.compile(f"[{_INVISIBLE}]")
 
 CONSENT = (
     r"(?:uses|use|utilise|verwendet|usa|utiliza|nutzt) (?:des |de |las )?cookies",
@@ -129,7 +130,11 @@ CREDIT = (
     r"^first printed in the ",
     r"teaches finance and has written for",
     r"^follow .{3,60} on \w+ for more",
-    r"\| (?:senior |staff |guest )?(?:columnist|editor|writer|contributor|correspondent)\b",
+    r"\| (?:senior |staff |guest )?columnist\b",
+    r"\| (?:senior |staff |guest )?editor\b",
+    r"\| (?:senior |staff |guest )?writer\b",
+    r"\| (?:senior |staff |guest )?contributor\b",
+    r"\| (?:senior |staff |guest )?correspondent\b",
     r"^by [^.!?]{3,60}, (?:senior |staff )?(?:contributor|columnist)$",
     r"^published (?:on )?(?:\d|[a-z]{3,9} \d)",
     r"^publicado el ",
@@ -201,7 +206,8 @@ RESIDUE = (
     r"authorization required",
     r"have permission to (?:view|access) ",
     r"access denied",
-    r"(?:access|request)\b.{0,40} (?:has been|was) (?:denied|blocked)",
+    r"(?:access|request)\b.{0,40} (?:has been|was) denied",
+    r"(?:access|request)\b.{0,40} (?:has been|was) blocked",
     r"has been denied for your",
     r"acceso denegado",
     r"zugriff verweigert",
@@ -219,7 +225,10 @@ RESIDUE = (
     r"^reference (?:number|id|code): ?[0-9a-f-]{6,}",
     r"^traceback: ",
     r"failed opening required file",
-    r"(?:undefined index|fatal error|parse error|syntax error):",
+    r"undefined index:",
+    r"fatal error:",
+    r"parse error:",
+    r"syntax error:",
     r"too many requests",
     r"bad request",
     r"^gone$",
@@ -307,7 +316,7 @@ class Phrases:
         by_literal: dict[str, list[str]] = {}
         for p in patterns:
             if p[0] != "^":
-                by_literal.setdefault(literal(p), []).append(p)
+                by_literal.setdefault(literal(p), []).append(p)  # a short literal would be met in every line
         for word, own in by_literal.items():
             self.automaton.add_word(word, re.compile("|".join(own)))
         self.automaton.make_automaton()
@@ -351,8 +360,17 @@ def plain(line: str) -> str:
 def bare(line: str) -> str:
     """The plain line in lower case, without a leading bullet or a trailing flourish."""
     s = line.lower().replace("’", "'")
-    s = _DECOR_HEAD.sub("", _DECOR_HEAD.sub("", s))
-    return _DECOR_TAIL.sub("", s).strip()
+    for _ in range(2):
+        head = _DECOR_HEAD.match(s)
+        if head is None:
+            break
+        s = s[head.end() :]
+    return (s[:-12] + _DECOR_TAIL.sub("", s[-12:])).strip()
+
+
+def has_hole(line: str) -> bool:
+    """Whether a line may hold a placeholder."""
+    return ("{" in line or "%" in line or "[" in line or "_" in line or "<" in line or "@@" in line or "$" in line or "XX" in line or "TK)" in line) and _HOLE.search(line) is not None
 
 
 def is_menu(s: str) -> bool:
@@ -378,37 +396,39 @@ def is_trail(s: str) -> bool:
     return False
 
 
-def residue_share(line: str) -> float:
-    """Share of a line's characters in sentences that are filler or an unfilled template."""
-    if not _HOLE.search(line):
-        all_words = line.lower().split()
-        if len(FILLER.intersection(all_words)) < min(3, len(all_words)):
+def residue_share(line: str, words: list[str] | None = None) -> float:
+    """Share of a line's characters in sentences that are filler or an unfilled template; words: its lower-case words."""
+    if not has_hole(line):
+        if words is None:
+            words = line.lower().split()
+        if len(FILLER.intersection(words)) < min(3, len(words)):
             return 0.0
     total = bad = 0
     for s in _SENTENCE.split(line):
         total += len(s)
-        words = s.split()
+        own = s.split()
         holes = PLACEHOLDER.findall(s)
         if holes:
-            bad += len(s) * (len(holes) * 11 >= len(words))
-        elif len(words) >= 3:
-            low = [w.strip(".,;:!?").lower() for w in words]
+            bad += len(s) * (len(holes) * 11 >= len(own))
+        elif len(own) >= 3:
+            low = [w.strip(".,;:!?").lower() for w in own]
             bad += len(s) * (sum(w in FILLER for w in low) * 10 >= 7 * len(low))
     return bad / total if total else 0.0
 
 
+SHORT = 160  # characters; what is found for a shorter line is remembered, as furniture returns on every page
 _SEEN: dict[str, tuple[str, str]] = {}
 
 
-def kind_of(line: str) -> tuple[str, str]:
-    """(kind, bare line) of one plain line seen alone; short lines are remembered, as furniture returns on every page."""
-    if len(line) > 160:
-        return _kind_of(line)
+def kind_of(line: str, words: list[str] | None = None) -> tuple[str, str]:
+    """(kind, bare line) of one plain line seen alone."""
+    if len(line) > SHORT:
+        return _kind_of(line, words)
     found = _SEEN.get(line)
     if found is None:
         if len(_SEEN) > 100_000:
             _SEEN.clear()
-        found = _SEEN[line] = _kind_of(line)
+        found = _SEEN[line] = _kind_of(line, None)
     return found
 
 
@@ -422,7 +442,7 @@ def _named(phrases: Phrases, s: str, share: float) -> bool:
     return sum(min(len(x), 2 * WHOLE) for x in parts if phrases.found(x)) >= share * sum(map(len, parts))
 
 
-def _kind_of(line: str) -> tuple[str, str]:
+def _kind_of(line: str, words: list[str] | None) -> tuple[str, str]:
     if not line:
         return BLANK, ""
     s = bare(line)
@@ -432,7 +452,7 @@ def _kind_of(line: str) -> tuple[str, str]:
         return MESSAGE, s
     if _TICKER.match(s) or is_menu(s) or is_trail(s) or BYLINE.match(s):
         return FURNITURE, s
-    if residue_share(line) >= 0.5:
+    if residue_share(line, words) >= 0.5:
         return TEMPLATE, s
     return TEXT, s
 
@@ -459,11 +479,12 @@ def is_label(line: str) -> bool:
 
 
 def sentences(line: str) -> int:
-    return len(_SENTENCE.split(_ITEM.sub("", line)))
+    """Sentences of a line; text without marks counts as one for each 260 characters."""
+    return max(len(_SENTENCE.split(_ITEM.sub("", line))), 1 + len(line) // 260)
 
 
-def containers(lines: list[str]) -> list[list]:
-    """[kind, bare, container] of each plain line; containers are "column", "aside" or "thread".
+def containers(lines: list[str], split: list[list[str] | None]) -> list[list]:
+    """[kind, bare, container] of each plain line; containers are "column", "aside" or "thread". split: the lower-case words of each long line.
 
     An aside runs from its header to the next blank line or, on pages without
     blank lines, to the next furniture or table row, the first line of several sentences or the
@@ -473,8 +494,8 @@ def containers(lines: list[str]) -> list[list]:
     out: list[list] = []
     airy = sum(not x for x in lines) * 6 >= len(lines)
     inside, left = "column", 0
-    for line in lines:
-        kind, s = kind_of(line)
+    for line, words in zip(lines, split, strict=True):
+        kind, s = kind_of(line, words)
         if kind is BLANK:
             if inside == "aside":
                 inside = "column"
@@ -510,7 +531,7 @@ PROSE = re.compile(r"[^\W\d_]+[^.!?]{25,}[.!?]")
 
 
 def is_prose(line: str) -> bool:
-    return len(line) >= 50 and len(line.split()) >= 8
+    return len(line) >= 50 and line.count(" ") >= 7
 
 
 def is_listed(line: str) -> bool:
@@ -523,13 +544,26 @@ NAMED, APART, LIKE_LABEL, LIKE_PROSE, LIKE_ITEM, NAMED_RESIDUE = 1, 2, 4, 8, 16,
 POINTS = 6
 
 
+_TRAITS: dict[str, int] = {}
+
+
 def bits_of(line: str, kind: str, inside: str) -> int:
     """A line's traits. It has 1 point, 1 for each comma and 1 for each 100 characters, three at most."""
-    bits = (1 + line.count(",") + min(3, len(line) // 100)) << POINTS
-    if inside != "column":
-        bits |= APART
     if kind is not TEXT:
-        return bits | NAMED | (NAMED_RESIDUE if kind is not FURNITURE else 0)
+        bits = (1 + line.count(",") + min(3, len(line) // 100)) << POINTS
+        return bits | NAMED | (APART if inside != "column" else 0) | (NAMED_RESIDUE if kind is not FURNITURE else 0)
+    if len(line) > SHORT:
+        return _traits(line)
+    found = _TRAITS.get(line)
+    if found is None:
+        if len(_TRAITS) > 100_000:
+            _TRAITS.clear()
+        found = _TRAITS[line] = _traits(line)
+    return found
+
+
+def _traits(line: str) -> int:
+    bits = (1 + line.count(",") + min(3, len(line) // 100)) << POINTS
     if is_label(line):
         bits |= LIKE_LABEL
     else:
@@ -537,16 +571,17 @@ def bits_of(line: str, kind: str, inside: str) -> int:
     return bits | (LIKE_PROSE if is_prose(line) else 0)
 
 
-def read_lines(body: str | None) -> tuple[list[int], list[str], list[int]]:
-    """(numbers, plain lines, traits) of the lines that are not blank; none of a null or blank body."""
+def read_lines(body: str | None) -> tuple[list[int], list[str], list[int], list[list[str] | None]]:
+    """(numbers, plain lines, traits, words) of the lines that are not blank; none of a null or blank body. words: the lower-case words of each long line."""
     if not body or not body.strip():
-        return [], [], []
-    if not body.isascii():
+        return [], [], [], []
+    if not body.isascii() and any(c in body for c in _INVISIBLE):
         body = _HIDDEN.sub("", body)
     lines = [plain(x) for x in body.split("\n")]
-    marks = containers(lines)
+    split = [x.lower().split() if len(x) > SHORT else None for x in lines]
+    marks = containers(lines, split)
     nos = [i for i, (kind, _, _) in enumerate(marks) if kind is not BLANK]
-    return nos, [lines[i] for i in nos], [bits_of(lines[i], marks[i][0], marks[i][2]) for i in nos]
+    return nos, [lines[i] for i in nos], [bits_of(lines[i], marks[i][0], marks[i][2]) for i in nos], [split[i] for i in nos]
 
 
 def tree_scores(bits: list[int], chars: list[int], often: set[int]) -> list[tuple[int, int, float]]:
@@ -634,6 +669,7 @@ _MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?
 # --- end of fixed values ---
 
 _DATE = re.compile(rf"\d{{4}}[-/.]\d\d?[-/.]\d\d?|\d\d?[./]\d\d?[./]\d{{4}}|\d\d?\.? (?:de )?(?:{_MONTH})\.?,? (?:de )?\d{{4}}|\b(?:{_MONTH})\.? \d\d?,? \d{{4}}")
+_MONTHS = frozenset(f"{a}{m}{b}" for m in "jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december".split() for a in ("", "(") for b in ("", ".", ",", ".,"))
 _LETTERS = re.compile(r"[\W\d_]+")
 _DROP = {c: None for c in range(128) if not chr(c).isalpha()}
 _TITLES = frozenset("dr prof sir mr mrs ms chair".split())
@@ -641,60 +677,77 @@ _SUFFIXES = frozenset("jr sr ii iii iv phd".split())
 _EDGE = "\"'“”‘’.,;:!?()[]|·—–-»*•"
 
 
-def without_names(low: str, words: list[str]) -> str:
-    """The lower-case words without the persons' names: a given name with its title, initials, surname and suffix."""
+def without_names(words: list[str]) -> list[str]:
+    """Lower-case words without the persons' names: a given name with its title, initials, surname and suffix."""
+    hits = [i for i, w in enumerate(words) if w in GIVEN or not w.isalpha() and w.strip(_EDGE) in GIVEN]
+    if not hits:
+        return words
     out: list[str] = []
     i, n = 0, len(words)
-    while i < n:
-        w = words[i].strip(_EDGE)
-        if w in GIVEN:
-            if out and out[-1].strip(".") in _TITLES:
-                out.pop()
+    for hit in hits:
+        if hit < i:
+            continue
+        out += words[i:hit]
+        if out and out[-1].strip(_EDGE) in _TITLES:
+            out.pop()
+        whole = words[hit]
+        i = hit + 1
+        while i < n and whole[-1] not in ",;:|·" and len(words[i].strip(".")) == 1 and words[i][0].isalpha():
             whole = words[i]
             i += 1
-            while i < n and whole[-1] not in ",;:|·" and len(words[i].strip(".")) == 1 and words[i][0].isalpha():
-                whole = words[i]
-                i += 1
-            if i < n and whole[-1] not in ",;:|·" and words[i][0].isalpha():
+        if i < n and whole[-1] not in ",;:|·" and words[i][0].isalpha():
+            i += 1
+            if i < n and words[i].strip(_EDGE) in _SUFFIXES:
                 i += 1
-                if i < n and words[i].strip(_EDGE) in _SUFFIXES:
-                    i += 1
-            continue
-        out.append(words[i])
-        i += 1
-    return " ".join(out)
+    return out + words[i:]
 
 
-def same_key(line: str) -> str:
-    """What is left of a plain line when case, spacing, punctuation, numbers, dates and persons' names do not count."""
-    low = line.lower()
-    if _DIGIT.search(low):
-        low = _DATE.sub("", low)
-    words = low.split()
-    if not GIVEN.isdisjoint(words) or len(words) < 12:
-        low = without_names(low, words)
+_KEYS: dict[str, str] = {}
+
+
+def same_key(line: str, words: list[str] | None = None) -> str:
+    """What is left of a plain line when case, spacing, punctuation, numbers, dates and persons' names do not count; words: its lower-case words."""
+    if len(line) <= SHORT:
+        found = _KEYS.get(line)
+        if found is None:
+            if len(_KEYS) > 100_000:
+                _KEYS.clear()
+            found = _KEYS[line] = _same_key(line.lower(), None)
+        return found
+    return _same_key(line.lower(), words)
+
+
+def _same_key(low: str, words: list[str] | None) -> str:
+    if words is None:
+        words = low.split()
+    if not _MONTHS.isdisjoint(words) and _DIGIT.search(low):
+        words = _DATE.sub("", low).split()
+    kept = without_names(words)
+    low = "".join(kept)
     return low.translate(_DROP) if low.isascii() else _LETTERS.sub("", low)
 
 
+_HEXISH = re.compile(r"\d[a-z]|[a-z]\d")
 _HEX = re.compile(r"\b(?=[a-z]*\d)(?:[0-9a-f]{6,}|[0-9a-z]{8,})\b")
 _URL = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 
 
 def masked(line: str, key: str) -> str:
     """A plain line with addresses, codes, numbers and dates masked; key is its sameness key, which is all of it where there are none."""
-    if "@" in line or "www." in line or "://" in line or _DIGIT.search(line):
-        s = line.lower()
-        return same_key(_HEX.sub("", _URL.sub("", s) if "@" in s or "www." in s or "://" in s else s))
+    low = line.lower()
+    linked = "@" in low or "www." in low or "://" in low
+    if linked or _HEXISH.search(low):
+        return _same_key(_HEX.sub("", _URL.sub("", low) if linked else low), None)
     return key
 
 
-def message_parts(line: str, bits: int, key: str) -> list[tuple[str, int, bool]]:
+def message_parts(line: str, bits: int, key: str, words: list[str] | None = None) -> list[tuple[str, int, bool]]:
     """(mask, characters, whether a rule names it) of the parts of a line that may be messages.
 
     A part is the line or, where it has placeholders or filler, each of its sentences, since templates
     come in any order of sentences; placeholders are masked, and a sentence of filler has one mask whatever its words.
     """
-    if not _HOLE.search(line) and len(FILLER.intersection(line.lower().split())) < 3:
+    if not has_hole(line) and len(FILLER.intersection(line.lower().split() if words is None else words)) < 3:
         return [(masked(line, key), len(line), bool(bits & NAMED_RESIDUE))]
     out = []
     for s in _SENTENCE.split(line):

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: pages.lines_outside(table(s, d, "articles")),
     "p1_main_text": lambda s, d: pages.main_text(table(s, d, "articles")),
     "p2_found": lambda s, d: pages.residue_found(table(s, d, "articles")),
-    "p2_messages": lambda s, d: pages.residue_messages(pages.read_pages(table(s, d, "articles"))),
+    "p2_messages": lambda s, d: pages.residue_messages(pages.read_pages(table(s, d, "articles"), sketched=False)),
     "p3_found": lambda s, d: mail.lines_not_new(table(s, d, "extract_results")),
     "p3_new_text": lambda s, d: mail.new_text(table(s, d, "extract_results")),
     "p4_found": lambda s, d: names.same_entity(table(s, d, "entity_stance")),
