@@ -321,6 +321,10 @@ class Phrases:
             self.automaton.add_word(word, re.compile("|".join(own)))
         self.automaton.make_automaton()
 
+    def may(self, text: str) -> bool:
+        """Whether a literal of any pattern, or a pattern of the start, is in a text."""
+        return self.start.match(text) is not None or next(self.automaton.iter(text), None) is not None
+
     def found(self, text: str) -> bool:
         if self.start.match(text) is not None:
             return True
@@ -335,6 +339,7 @@ class Phrases:
 
 _CUES = Phrases(CONSENT, LEGAL, PROMPT, CREDIT, TEASER)
 _RESIDUES = Phrases(tuple(r"^\W*" + p[1:] if p[0] == "^" else p for p in RESIDUE))
+_ANY = Phrases(CONSENT, LEGAL, PROMPT, CREDIT, TEASER, tuple(r"^\W*" + p[1:] if p[0] == "^" else p for p in RESIDUE))
 _HOLE = re.compile(r"[{}%\[_<]|@@|\$[A-Za-z{]|XX| TK\)")
 _TICKER = re.compile(r"^(?:[a-z]{2,6} [\d,]+\.\d+(?: ?[+-][\d.]+%)?\s*){1,8}$")
 _PARTS = re.compile(r"\s*(?:\||·|/|»|>|›|•)\s*|\s{2,}")
@@ -446,10 +451,13 @@ def _kind_of(line: str, words: list[str] | None) -> tuple[str, str]:
     if not line:
         return BLANK, ""
     s = bare(line)
-    if not s or _STRAY.match(line) or _named(_CUES, s, 0.5):
+    if not s or _STRAY.match(line):
         return FURNITURE, s
-    if _named(_RESIDUES, s, 0.8):
-        return MESSAGE, s
+    if _ANY.may(s):
+        if _named(_CUES, s, 0.5):
+            return FURNITURE, s
+        if _named(_RESIDUES, s, 0.8):
+            return MESSAGE, s
     if _TICKER.match(s) or is_menu(s) or is_trail(s) or BYLINE.match(s):
         return FURNITURE, s
     if residue_share(line, words) >= 0.5:
@@ -468,7 +476,9 @@ SHARE = 0.2  # of the best score; a container apart from the essay with no more
 
 def is_label(line: str) -> bool:
     """Whether a line looks like links, whatever its words: labels between bars, or a short capitalised one, with or without a bullet, that is no table row or sentence."""
-    line = _ITEM.sub("", line)
+    item = _ITEM.match(line)
+    if item:
+        line = line[item.end() :]
     if len(line) > 2 * LABEL or _ENDED.search(line) or "\t" in line:
         return False
     parts = _BARS.split(line)
@@ -480,7 +490,8 @@ def is_label(line: str) -> bool:
 
 def sentences(line: str) -> int:
     """Sentences of a line; text without marks counts as one for each 260 characters."""
-    return max(len(_SENTENCE.split(_ITEM.sub("", line))), 1 + len(line) // 260)
+    item = _ITEM.match(line)
+    return max(len(_SENTENCE.split(line[item.end() :] if item else line)), 1 + len(line) // 260)
 
 
 def containers(lines: list[str], split: list[list[str] | None]) -> list[list]:
@@ -677,9 +688,13 @@ _SUFFIXES = frozenset("jr sr ii iii iv phd".split())
 _EDGE = "\"'“”‘’.,;:!?()[]|·—–-»*•"
 
 
+# given names with the marks that stand beside them
+_GIVEN_TYPED = frozenset(f"{a}{g}{b}" for g in GIVEN for a in ("", "(", "[", '"', "'", "“", "‘", "«", "—", "–", "*", "•") for b in ("", ",", ".", ";", ":", "!", "?", ")", "]", '"', "'", "”", "’", "»", "—", "|", ".”", ",”", ".)", ").", "),"))
+
+
 def without_names(words: list[str]) -> list[str]:
     """Lower-case words without the persons' names: a given name with its title, initials, surname and suffix."""
-    hits = [i for i, w in enumerate(words) if w in GIVEN or not w.isalpha() and w.strip(_EDGE) in GIVEN]
+    hits = [] if _GIVEN_TYPED.isdisjoint(words) else [i for i, w in enumerate(words) if w in _GIVEN_TYPED]
     if not hits:
         return words
     out: list[str] = []
@@ -720,14 +735,14 @@ def same_key(line: str, words: list[str] | None = None) -> str:
 def _same_key(low: str, words: list[str] | None) -> str:
     if words is None:
         words = low.split()
-    if not _MONTHS.isdisjoint(words) and _DIGIT.search(low):
+    if not _MONTHS.isdisjoint(words) and any(_DIGIT.search(" ".join(words[max(0, i - 2) : i + 2])) for i, w in enumerate(words) if w in _MONTHS):
         words = _DATE.sub("", low).split()
     kept = without_names(words)
     low = "".join(kept)
     return low.translate(_DROP) if low.isascii() else _LETTERS.sub("", low)
 
 
-_HEXISH = re.compile(r"\d[a-z]|[a-z]\d")
+_HEXISH = re.compile(r"\d(?:[a-z]|(?<=[a-z]\d))")
 _HEX = re.compile(r"\b(?=[a-z]*\d)(?:[0-9a-f]{6,}|[0-9a-z]{8,})\b")
 _URL = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 
