@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.lines import GIVEN
+from folioforge.session import cut
 
 ROWS = 500
 
@@ -182,14 +183,8 @@ def _close(lines: list[str], gone: list[bool]) -> None:
             if DEVICE.match(low) or BANNER.match(low):
                 gone[i] = True
         if LEGAL.search(joined):
-            # legal text runs from its first line to the end of the block
-            start = a
-            for i in range(a, b):
-                if _DELIMITER.match(lines[i].strip()):
-                    start = i
-                    break
-                if LEGAL.search(re.sub(r"\s+", " ", " ".join(lines[i:b])).lower()) and not LEGAL.search(re.sub(r"\s+", " ", " ".join(lines[i + 1 : b])).lower()):
-                    break
+            # legal text runs from a delimiter, or its block's first line, to the end of the block
+            start = next((i for i in range(a, b) if _DELIMITER.match(lines[i].strip())), a)
             for i in range(start, b):
                 gone[i] = True
     # closing blocks: after the last open line nothing newly written may follow
@@ -244,116 +239,103 @@ def _signs(s: str) -> bool:
 
 
 _SPLIT = re.compile(r"(?<=[.!?])[\"”’)]*\s+")
-_NON_LETTER = re.compile(r"[\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 SHORT = 40  # letters; a shorter sentence is no pattern, as people type the same short phrases anew
-RUN = 100  # letters; merged intervals under this are no earlier mail unless a closing block matched
 CLOSING_LETTERS = 25
+ANCHOR = 4  # words; a pattern is sought by its first words, so one of fewer words is none
 
 
-def _letters(s: str) -> str:
-    return _NON_LETTER.sub("", s.lower())
+def _words(s: str) -> list[str]:
+    return _WORDS.findall(s.lower())
 
 
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def _sentences(lines: list[str]) -> list[str]:
-    joined = " ".join(_MARK.sub("", x) for x in lines)
-    return [k for k in map(_letters, _SPLIT.split(joined)) if len(k) >= SHORT]
+def anchors(words: list[str]) -> list[int]:
+    """Hashes of all runs of ``ANCHOR`` words."""
+    return [_hash(" ".join(words[i : i + ANCHOR])) for i in range(len(words) - ANCHOR + 1)]
 
 
-def patterns(text: str, gone: list[bool]) -> list[str]:
-    """Patterns a message gives to the automata of later messages: its newly written sentences and its closing block, letters only."""
+def patterns(text: str, gone: list[bool]) -> list[list[str]]:
+    """Patterns a message gives to the automata of later messages, as words: its newly written sentences and its closing blocks."""
     lines = text.split("\n")
-    out = [k for a, b in _blocks(gone, lines) for k in _sentences(lines[a:b])]
+    out = []
+    for a, b in _blocks(gone, lines):
+        own = [_words(x) for x in _SPLIT.split(" ".join(_MARK.sub("", x) for x in lines[a:b]))]
+        out += [w for w in own if sum(map(len, w)) >= SHORT]
     closing: list[str] = []
-    for x, g in zip(lines, gone, strict=True):
+    for x, g in zip([*lines, ""], [*gone, False], strict=True):
         if g and _signs(x.strip()) and not _PREFIX.match(x):
             closing.append(x)
         else:
-            out += _closing(closing)
+            if closing and (closing[0].strip().lower().rstrip(",.! ") in CLOSINGS or _DELIMITER.match(closing[0].strip()) or is_name(closing[0])):
+                out.append(_words(" ".join(closing)))
             closing = []
-    return out + _closing(closing)
-
-
-def _closing(block: list[str]) -> list[str]:
-    """The pattern of a closing block: one that begins with a closing formula, a delimiter or a name."""
-    if not block or not (block[0].strip().lower().rstrip(",.! ") in CLOSINGS or _DELIMITER.match(block[0].strip()) or is_name(block[0])):
-        return []
-    k = _letters(" ".join(block))
-    return [k] if len(k) >= CLOSING_LETTERS else []
-
-
-def candidates(text: str) -> list[str]:
-    """What of a whole message may equal a pattern: all sentences and all blocks of lines, quote marks taken off."""
-    lines = [_MARK.sub("", x) for x in text.split("\n")]
-    blocks, block = [], []
-    for x in [*lines, ""]:
-        if x.strip():
-            block.append(x)
-        elif block:
-            blocks.append(block)
-            block = []
-    out = [k for b in blocks for k in _sentences(b)]
-    for b in blocks:
-        k = _letters(" ".join(b))
-        if CLOSING_LETTERS <= len(k) <= 200:
-            out.append(k)
-    return out
+    return [w for w in out if len(w) >= ANCHOR and sum(map(len, w)) >= CLOSING_LETTERS]
+
+
+def last_block(text: str, gone: list[bool]) -> str:
+    """The letters of the block a message's newly written text ends with when it has the shape of a closing block: two to seven short lines that are no sentences; else nothing."""
+    lines = text.split("\n")
+    block: tuple[int, int] | None = None
+    for block in _blocks(gone, lines):
+        pass
+    if block is None or not 2 <= block[1] - block[0] <= 7:
+        return ""
+    own = [x.strip() for x in lines[block[0] : block[1]]]
+    letters = "".join(_words(" ".join(own)))
+    return letters if all(len(x) <= 60 and x[-1:] not in ".!?;:" for x in own) and len(letters) >= CLOSING_LETTERS // 2 else ""
 
 
-def scan(text: str, gone: list[bool], known: list[str]) -> list[bool]:
+def scan(text: str, gone: list[bool], known: list[str], closings: list[str]) -> list[bool]:
     """``gone`` and, besides, the lines that an automaton over known patterns covers.
 
-    The message is read as letters; overlapping and touching matches are merged. A line
-    is subtracted when nine tenths of its letters lie in merged intervals of 100 letters
-    or more, or in a closing block.
+    known: letters of earlier sentences and closing blocks of the thread; closings: letters of
+    blocks that end several of its messages. The message is read as letters; overlapping and touching matches
+    are merged. A line is subtracted when nine tenths of its letters lie in merged
+    intervals; a merged interval shorter than a sentence counts for whole lines of a signature only.
     """
-    if not known:
+    if not known and not closings:
         return gone
     automaton = ahocorasick.Automaton()
-    for k in known:
+    for k in (*known, *closings):
         automaton.add_word(k, len(k))
     automaton.make_automaton()
     lines = text.split("\n")
-    parts = [_letters(_MARK.sub("", x)) for x in lines]
-    whole = "".join(parts)
+    parts = ["".join(_words(_MARK.sub("", x))) for x in lines]
     intervals: list[list[int]] = []
-    for end, size in automaton.iter(whole):
+    for end, size in automaton.iter("".join(parts)):
         a, b = end - size + 1, end + 1
         while intervals and a <= intervals[-1][1]:
             a = min(a, intervals.pop()[0])
         intervals.append([a, b])
-    blocks = {k for k in known if len(k) < RUN}
-    good = [(a, b) for a, b in intervals if b - a >= RUN or whole[a:b] in blocks and b - a < SHORT * 2 and _is_closing(lines, parts, a, b)]
-    out, at, k = list(gone), 0, 0
+    starts, at = [], 0
+    for part in parts:
+        starts.append(at)
+        at += len(part)
+    whole = set(closings)
+    good = []
+    for a, b in intervals:
+        inside = [i for i, part in enumerate(parts) if part and starts[i] < b and starts[i] + len(part) > a]
+        if b - a >= SHORT or "".join(parts[i] for i in inside) in whole or all(_signs(_MARK.sub("", lines[i]).strip()) for i in inside):
+            good.append((a, b))
+    out = list(gone)
     for i, part in enumerate(parts):
-        start, at = at, at + len(part)
-        if not part or out[i]:
-            continue
-        covered = sum(max(0, min(b, at) - max(a, start)) for a, b in good)
-        if covered * 10 >= 9 * len(part):
-            out[i] = True
+        if part and not out[i]:
+            covered = sum(max(0, min(b, starts[i] + len(part)) - max(a, starts[i])) for a, b in good)
+            out[i] = covered * 10 >= 9 * len(part)
     return out
 
 
-def _is_closing(lines: list[str], parts: list[str], a: int, b: int) -> bool:
-    at = 0
-    for x, part in zip(lines, parts, strict=True):
-        start, at = at, at + len(part)
-        if part and start < b and at > a and not _signs(_MARK.sub("", x).strip()):
-            return False
-    return True
-
-
 MAIL = r"(?i)\.(?:eml|mbox)\s*$"
 
 
 def messages(extracts: DataFrame) -> DataFrame:
-    """(extract_id, ordinal, text) of each message of a mail file; other files, null documents and null texts have none."""
-    each = extracts.where(F.col("original").rlike(MAIL)).select("extract_id", F.posexplode("documents"))
-    return each.where(F.col("col.text").isNotNull()).select("extract_id", F.coalesce("col.ordinal", "pos").alias("ordinal"), F.col("col.text").alias("text"))
+    """(extract_id, ordinal, thread, text) of each message of a mail file; thread: whether the file has several. Other files, null documents and null texts have none."""
+    each = extracts.where(F.col("original").rlike(MAIL)).select("extract_id", (F.size("documents") > 1).alias("thread"), F.posexplode("documents"))
+    return each.where(F.col("col.text").isNotNull()).select("extract_id", F.coalesce("col.ordinal", "pos").alias("ordinal"), "thread", F.col("col.text").alias("text"))
 
 
 def _mapped(fn, schema: pa.Schema):
@@ -367,36 +349,69 @@ def _mapped(fn, schema: pa.Schema):
     return run
 
 
-def earlier_keys(mails: DataFrame) -> DataFrame:
-    """(extract_id, ordinal, known): for each message the hashes of patterns that an earlier message of its file gave and that it may hold.
+_READ = "extract_id long, ordinal int, gone array<int>, given array<struct<anchor:long,pattern:string>>, held array<long>, last string"
 
-    The automata need only patterns that can match, so they are found by an equi-join
-    on file and hash; a file of any length is never gathered.
+
+def read(mails: DataFrame) -> DataFrame:
+    """One row per message: the lines its own signs mark, the patterns it gives, the anchors it holds and its last block; written once to the shared folder.
+
+    Messages that stand alone in their file give and hold none.
     """
 
-    def keys(extract_id, ordinal, text):
-        return extract_id, ordinal, list({_hash(k) for k in patterns(text, not_new(text))}), list({_hash(k) for k in candidates(text)})
+    def one(extract_id, ordinal, thread, text):
+        gone = not_new(text)
+        nos = [i for i, g in enumerate(gone) if g]
+        if not thread:
+            return extract_id, ordinal, nos, [], [], ""
+        given = {"".join(w): _hash(" ".join(w[:ANCHOR])) for w in patterns(text, gone)}
+        held = anchors(_words(" ".join(_MARK.sub("", x) for x in text.split("\n"))))
+        return extract_id, ordinal, nos, [{"anchor": h, "pattern": k} for k, h in given.items()], list(set(held)), last_block(text, gone)
+
+    given = pa.list_(pa.struct([("anchor", pa.int64()), ("pattern", pa.string())]))
+    schema = pa.schema([("extract_id", pa.int64()), ("ordinal", pa.int32()), ("gone", pa.list_(pa.int32())), ("given", given), ("held", pa.list_(pa.int64())), ("last", pa.string())])
+    return cut(mails.select("extract_id", "ordinal", "thread", "text").mapInArrow(_mapped(one, schema), _READ), "mail")
+
 
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("extract_id", pa.int64()), ("ordinal", pa.int32()), ("given", longs), ("held", longs)])
-    read = mails.mapInArrow(_mapped(keys, schema), "extract_id long, ordinal int, given array<long>, held array<long>")
-    first = read.select("extract_id", "ordinal", F.explode("given").alias("key")).groupBy("extract_id", "key").agg(F.min("ordinal").alias("first"))
-    held = read.select("extract_id", "ordinal", F.explode("held").alias("key"))
-    return held.join(first, ["extract_id", "key"]).where("ordinal > first").groupBy("extract_id", "ordinal").agg(F.collect_set("key").alias("known"))
+def earlier(messages_read: DataFrame) -> DataFrame:
+    """(extract_id, ordinal, known, closings): for each message the patterns of earlier messages of its file that may stand in it, and the closing blocks it shares with others.
+
+    A message's automaton needs only patterns that it may hold. They are found by an
+    equi-join of the first words of each pattern with all runs of as many words
+    of later messages, which misses none wherever it stands, so that a file of any length is never gathered. A block that ends two messages of a
+    file is a closing block of their sender.
+    """
+    given = messages_read.select("extract_id", "ordinal", F.explode("given").alias("g")).groupBy("extract_id", "g.anchor", "g.pattern").agg(F.min("ordinal").alias("first"))
+    held = messages_read.select("extract_id", "ordinal", F.explode("held").alias("anchor"))
+    known = held.join(given, ["extract_id", "anchor"]).where("ordinal > first").groupBy("extract_id", "ordinal").agg(F.collect_set("pattern").alias("known"))
+    last = messages_read.where("last <> ''").select("extract_id", "ordinal", "last")
+    shared = last.groupBy("extract_id", "last").agg(F.count_distinct("ordinal").alias("n")).where("n > 1").drop("n")
+    closings = last.join(shared, ["extract_id", "last"]).groupBy("extract_id", "ordinal").agg(F.collect_set("last").alias("closings"))
+    return known.join(closings, ["extract_id", "ordinal"], "full")
 
 
 def marked(extracts: DataFrame) -> DataFrame:
-    """(extract_id, ordinal, text, gone): each message with its line numbers that its sender did not newly write, blank lines left out."""
+    """(extract_id, ordinal, gone): for each message the numbers of the lines that its sender did not newly write, blank lines left out.
+
+    Messages that hold something of an earlier one are scanned by its automaton; the
+    signs within a message stand for what no earlier message of the file can show.
+    """
     mails = messages(extracts)
-    joined = mails.join(earlier_keys(mails), ["extract_id", "ordinal"], "left")
+    seen = read(mails)
+    met = cut(earlier(seen), "mail-known")
 
-    def read(extract_id, ordinal, text, known):
-        own = set(known or ())
-        gone = scan(text, not_new(text), [k for k in dict.fromkeys(candidates(text)) if _hash(k) in own])
-        return extract_id, ordinal, text, [i for i, (x, g) in enumerate(zip(text.split("\n"), gone, strict=True)) if g and x.strip()]
+    def scanned(extract_id, ordinal, text, gone, known, closings):
+        lines = text.split("\n")
+        marks = [False] * len(lines)
+        for i in gone:
+            marks[i] = True
+        found = scan(text, marks, known or [], closings or [])
+        return extract_id, ordinal, [i for i, (x, g) in enumerate(zip(lines, found, strict=True)) if g and x.strip()]
 
-    schema = pa.schema([("extract_id", pa.int64()), ("ordinal", pa.int32()), ("text", pa.string()), ("gone", pa.list_(pa.int32()))])
-    return joined.select("extract_id", "ordinal", "text", "known").mapInArrow(_mapped(read, schema), "extract_id long, ordinal int, text string, gone array<int>")
+    schema = pa.schema([("extract_id", pa.int64()), ("ordinal", pa.int32()), ("gone", pa.list_(pa.int32()))])
+    key = ["extract_id", "ordinal"]
+    own = seen.select("extract_id", "ordinal", "gone")
+    again = mails.select("extract_id", "ordinal", "text").join(met, key).join(own, key).select("extract_id", "ordinal", "text", "gone", "known", "closings")
+    return own.join(met.select(*key), key, "left_anti").unionByName(again.mapInArrow(_mapped(scanned, schema), "extract_id long, ordinal int, gone array<int>"))
 
 
 def lines_not_new(extracts: DataFrame) -> DataFrame:
@@ -407,4 +422,5 @@ def lines_not_new(extracts: DataFrame) -> DataFrame:
 def new_text(extracts: DataFrame) -> DataFrame:
     """(extract_id, ordinal, text): each mail message with only its newly written lines, blank runs joined."""
     kept = F.expr("filter(transform(split(text, '\n', -1), (x, i) -> if(array_contains(gone, i), null, x)), x -> x is not null)")
-    return marked(extracts).select("extract_id", "ordinal", F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n\s*", "\n\n"), r"^\s+|\s+$", "").alias("text"))
+    both = messages(extracts).join(marked(extracts), ["extract_id", "ordinal"])
+    return both.select("extract_id", "ordinal", F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n\s*", "\n\n"), r"^\s+|\s+$", "").alias("text"))

@@ -39,3 +39,37 @@ def test_automata_find_unmarked_copies_of_earlier_mail(spark):
 
 def test_empty_table(spark):
     assert M.lines_not_new(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def thread(spark, *texts):
+    rows = [(1, "a.mbox", [("t", x, i) for i, x in enumerate(texts)], "t", 3)]
+    return {(r.ordinal, r.line_no) for r in M.lines_not_new(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_earlier_sentences_are_found_wherever_they_stand(spark):
+    first = "Hello Tom,\n\nThe porter keeps the ledger under the stairs, and the keys hang in the pantry by the door.\nNobody has asked for either since the flood of that long and rainy spring."
+    # run on from an unknown head line, wrapped anew, with no mark
+    later = "Dear Bob,\n\nI shall look tomorrow.\n\nBetrifft unser Buch\nThe porter keeps the ledger under the\nstairs, and the keys hang in the pantry by the door. Nobody has asked\nfor either since the flood of that long and rainy spring.\n\nIs that so?"
+    assert thread(spark, first, later) == {(1, 5), (1, 6), (1, 7)}
+    # in the order of the file, only later messages repeat
+    assert thread(spark, later.replace("Betrifft unser Buch\n", ""), first) == {(1, 2), (1, 3)}
+
+
+def test_without_the_automata_copies_stay(spark, monkeypatch):
+    first = "The porter keeps the ledger under the stairs, and the keys hang in the pantry by the door."
+    assert thread(spark, first, "New words.\n\n" + first) == {(1, 2)}
+    monkeypatch.setattr(M, "patterns", lambda *_: [])
+    assert thread(spark, first, "New words.\n\n" + first) == set()
+
+
+def test_a_block_that_ends_two_messages_is_a_closing(spark):
+    tail = "Ever thine in haste\nBartholomew of the lamps\nWarden below the bridge"
+    assert thread(spark, f"One thing is written here.\n\n{tail}", "Another comes in between, by another hand.", f"Quite another is said there.\n\n{tail}") >= {(0, 2), (0, 3), (0, 4), (2, 2), (2, 3), (2, 4)}
+    assert (0, 2) not in thread(spark, "One thing is written here.\n\nWe leave at noon\nand take the ferry\nif the wind allows", "Nothing more.")
+
+
+def test_a_long_thread_and_a_long_legal_block(spark):
+    texts = [f"Message {'x' * i} says that the {'y' * (i + 1)} of the house is kept by nobody at all, as far as one hears." for i in range(60)]
+    assert thread(spark, *texts, "\n".join(texts)) == {(60, i) for i in range(60)}
+    legal = "\n".join(["This message is privileged and confidential."] + ["It is meant for its addressee alone, line by line."] * 5000)
+    assert len(thread(spark, "New words here.\n\n" + legal)) == 5001
