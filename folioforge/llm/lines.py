@@ -270,7 +270,6 @@ PLACEHOLDER = re.compile(
 )
 _STRAY = re.compile(r"^\W*(?:\{\{[^{}]*\}\}|<%=?[^%<>]*%>|\$\{[^{}]*\}|%%\w+%%|@@\w+@@|<[a-z]+(?:[-_ ][a-z]+)*>|\{\w+\}|\[[^\[\]]{2,60}\]|__\w+__|\$\w+\$)\W*$")
 _SIDE = re.compile("|".join(SIDEBAR))
-_AGO = ("ago", "vor ", "il y a", "hace ")
 _THREAD = re.compile("|".join(COMMENT))
 
 
@@ -503,7 +502,7 @@ def containers(lines: list[str], split: list[list[str] | None]) -> list[list]:
     and the one line below it.
     """
     out: list[list] = []
-    airy = sum(not x for x in lines) * 6 >= len(lines)
+    airy = lines.count("") * 6 >= len(lines)
     inside, left = "column", 0
     for line, words in zip(lines, split, strict=True):
         kind, s = kind_of(line, words)
@@ -512,7 +511,7 @@ def containers(lines: list[str], split: list[list[str] | None]) -> list[list]:
                 inside = "column"
             out.append([kind, s, "column"])
             continue
-        if s and any(w in s for w in _AGO) and _THREAD.search(s):
+        if s and ("ago" in s or "vor " in s or "il y a" in s or "hace " in s) and _THREAD.search(s):
             inside, left = "thread", 1
             out.append([FURNITURE, s, "thread"])
             continue

@@ -242,6 +242,7 @@ _SPLIT = re.compile(r"(?<=[.!?])[\"”’)]*\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 SHORT = 40  # letters; a shorter sentence is no pattern, as people type the same short phrases anew
 CLOSING_LETTERS = 25
+RUN = 80  # letters; merged matches under this are no earlier mail unless they are a closing block, as a single sentence may be typed anew
 ANCHOR = 4  # words; a pattern is sought by its first words, so one of fewer words is none
 
 
@@ -295,7 +296,7 @@ def scan(text: str, gone: list[bool], known: list[str], closings: list[str]) ->
     known: letters of earlier sentences and closing blocks of the thread; closings: letters of
     blocks that end several of its messages. The message is read as letters; overlapping and touching matches
     are merged. A line is subtracted when nine tenths of its letters lie in merged
-    intervals; a merged interval shorter than a sentence counts for whole lines of a signature only.
+    intervals; a merged interval of fewer than ``RUN`` letters counts for whole lines of a signature only.
     """
     if not known and not closings:
         return gone
@@ -319,7 +320,7 @@ def scan(text: str, gone: list[bool], known: list[str], closings: list[str]) ->
     good = []
     for a, b in intervals:
         inside = [i for i, part in enumerate(parts) if part and starts[i] < b and starts[i] + len(part) > a]
-        if b - a >= SHORT or "".join(parts[i] for i in inside) in whole or all(_signs(_MARK.sub("", lines[i]).strip()) for i in inside):
+        if b - a >= RUN or "".join(parts[i] for i in inside) in whole or all(_signs(_MARK.sub("", lines[i]).strip()) for i in inside):
             good.append((a, b))
     out = list(gone)
     for i, part in enumerate(parts):

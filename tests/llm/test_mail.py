@@ -56,7 +56,7 @@ def test_earlier_sentences_are_found_wherever_they_stand(spark):
 
 
 def test_without_the_automata_copies_stay(spark, monkeypatch):
-    first = "The porter keeps the ledger under the stairs, and the keys hang in the pantry by the door."
+    first = "The porter keeps the ledger under the stairs, and the keys hang in the pantry by the door, says the cook."
     assert thread(spark, first, "New words.\n\n" + first) == {(1, 2)}
     monkeypatch.setattr(M, "patterns", lambda *_: [])
     assert thread(spark, first, "New words.\n\n" + first) == set()
@@ -69,7 +69,7 @@ def test_a_block_that_ends_two_messages_is_a_closing(spark):
 
 
 def test_a_long_thread_and_a_long_legal_block(spark):
-    texts = [f"Message {'x' * i} says that the {'y' * (i + 1)} of the house is kept by nobody at all, as far as one hears." for i in range(60)]
+    texts = [f"Message {'x' * i} says that the {'y' * (i + 1)} of the house is kept by nobody at all, as far as one hears from the porter and his wife." for i in range(60)]
     assert thread(spark, *texts, "\n".join(texts)) == {(60, i) for i in range(60)}
     legal = "\n".join(["This message is privileged and confidential."] + ["It is meant for its addressee alone, line by line."] * 5000)
     assert len(thread(spark, "New words here.\n\n" + legal)) == 5001
