@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.lines import GIVEN
@@ -230,6 +231,7 @@ def monge_elkan(a: list[str], b: list[str], same) -> float:
     return sum(max(same(x, y) for y in b) for x in a) / len(a)
 
 
+@functools.lru_cache(maxsize=200_000)
 def _token(x: str, y: str) -> float:
     if x == y:
         return 1.0
@@ -310,7 +312,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in range(n):
                 kinds.append(kind)
                 cores.append(core)
-                keys.append(xxhash.xxh64_intdigest(bytes([b]) + sig[b * ROWS_OF_BAND : (b + 1) * ROWS_OF_BAND].tobytes()) - (1 << 63))
+                keys.append(xxhash.xxh64_intdigest(b.to_bytes(4, "big") + sig[b * ROWS_OF_BAND : (b + 1) * ROWS_OF_BAND].tobytes()) - (1 << 63))
         yield pa.RecordBatch.from_pydict({"kind": kinds, "core": cores, "key": keys}, schema=pa.schema([("kind", pa.string()), ("core", pa.string()), ("key", pa.int64())]))
 
 
@@ -349,13 +351,35 @@ def near_cores(surfaces: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b")))
 
 
+def _blocks() -> Column:
+    """Keys of which two spellings of one core that agree share one: first letters and endings of given names, an initial, kind words or their letters."""
+    words = F.filter(F.split("words", " "), lambda w: w != "")
+    letters = F.array_union(F.transform(words, lambda w: F.substring(w, 1, 1)), F.transform(words, lambda w: F.concat(F.lit("~"), F.right(w, F.lit(2)))))
+    initial = F.when(F.col("initials") != "", F.array(F.substring("initials", 1, 1))).otherwise(F.array().cast("array<string>"))
+    sorted_letters = F.concat(F.lit("#"), F.array_join(F.array_sort(F.split("initials", "")), ""))
+    person = F.when(F.size(words) > 0, letters).otherwise(initial)
+    return F.when(F.col("kind") == "person", person).otherwise(F.array_union(words, F.array(sorted_letters)))
+
+
 def links(surfaces: DataFrame) -> DataFrame:
-    """(a, b, fa, fb, score): pairs of different surfaces with the same or near cores that Monge-Elkan verifies, a < b; fa and fb tell whether they are full."""
-    some = surfaces.where("core <> ''")
+    """(a, b, fa, fb, score): pairs of different surfaces with the same or near cores that Monge-Elkan verifies, a < b; fa and fb tell whether they are full.
+
+    Within a core only spellings that share a block are paired, each pair in its smallest block,
+    so that a surname borne by a third of all rows falls apart by given names. A
+    surname alone is one spelling and meets all of its core.
+    """
+    some = cut(surfaces.where("core <> ''").withColumn("blocks", _blocks()), "name-surfaces")
+    cores = cut(near_cores(surfaces), "name-cores")
     left = some.select(*(F.col(c).alias(f"l_{c}") for c in some.columns))
     right = some.select(*(F.col(c).alias(f"r_{c}") for c in some.columns))
-    cores = near_cores(surfaces)
-    met = left.join(cores, (F.col("l_kind") == F.col("kind")) & (F.col("l_core") == F.col("a"))).join(right, (F.col("r_kind") == F.col("kind")) & (F.col("r_core") == F.col("b"))).where("l_surface < r_surface")
+    near = left.join(cores, (F.col("l_kind") == F.col("kind")) & (F.col("l_core") == F.col("a"))).drop("kind", "a")
+    blocked = near.withColumn("block", F.explode("l_blocks")).join(right.withColumn("r_block", F.explode("r_blocks")), (F.col("r_kind") == F.col("l_kind")) & (F.col("r_core") == F.col("b")) & (F.col("block") == F.col("r_block")))
+    blocked = blocked.where((F.col("l_surface") < F.col("r_surface")) & (F.array_min(F.array_intersect("l_blocks", "r_blocks")) == F.col("block"))).drop("block", "r_block")
+    alone = (F.size("l_blocks") == 0) != (F.size("r_blocks") == 0)
+    bare = near.where(F.size("l_blocks") == 0).join(right, (F.col("r_kind") == F.col("l_kind")) & (F.col("r_core") == F.col("b"))).where(alone)
+    both = [c for c in blocked.columns if c != "b"]
+    turned = [F.col(("r_" if c[0] == "l" else "l_") + c[2:]).alias(c) for c in both]
+    met = blocked.select(*both).unionByName(bare.where("l_surface < r_surface").select(*both)).unionByName(bare.where("l_surface > r_surface").select(*turned))
     parts = ["surface", "kind", "core", "words", "initials", "acronym", "full"]
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("fa", pa.int32()), ("fb", pa.int32()), ("score", pa.float64())])
 
@@ -373,22 +397,23 @@ def links(surfaces: DataFrame) -> DataFrame:
     return met.select(*(f"l_{c}" for c in parts), *(f"r_{c}" for c in parts)).mapInArrow(verify, "a string, b string, fa int, fb int, score double")
 
 
-def stars(nodes: DataFrame, edges: DataFrame, *, rounds: int = 12) -> DataFrame:
+def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, center): star clustering of undirected edges (a, b).
 
     In each round every open node that outranks all its open neighbours, by open degree and
-    then by name, is a centre and takes its open neighbours; a node beside two
-    centres goes to the higher. Rounds end when no node is open; after
-    ``rounds`` the nodes still open, the ends of long chains, stand alone.
+    then by a hash of its name, is a centre and takes its open neighbours; a node beside two
+    centres goes to the higher. Rounds end when no edge joins open nodes; hashes keep
+    them to about the logarithm of a chain's length.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "star-edges")
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "star-edges")
     done, left = None, both
-    for _ in range(rounds):
+    while True:
         degree = left.groupBy("a").agg(F.count("*").alias("d"))
         ranked = left.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
-        beaten = ranked.groupBy("a").agg(F.bool_or((F.col("e") > F.col("d")) | (F.col("e") == F.col("d")) & (F.col("b") < F.col("a"))).alias("beaten"), F.first("d").alias("d"))
+        one, two = F.struct("d", F.xxhash64("a"), "a"), F.struct(F.col("e").alias("d"), F.xxhash64("b"), F.col("b").alias("a"))
+        beaten = ranked.groupBy("a").agg(F.bool_or(two > one).alias("beaten"), F.first("d").alias("d"))
         centers = beaten.where(~F.col("beaten")).select(F.col("a").alias("center"), "d")
-        taken = left.join(centers, left.b == centers.center).groupBy(F.col("a").alias("node")).agg(F.max_by("center", F.struct("d", "center")).alias("center"))
+        taken = left.join(centers, left.b == centers.center).groupBy(F.col("a").alias("node")).agg(F.max_by("center", F.struct("d", F.xxhash64("center"), "center")).alias("center"))
         new = cut(taken.join(centers.select(F.col("center").alias("node")), "node", "left_anti").unionByName(centers.select(F.col("center").alias("node"), "center")), "star-round")
         done = new if done is None else done.unionByName(new)
         gone = new.select("node")

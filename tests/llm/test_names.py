@@ -70,3 +70,40 @@ def test_stars(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
     got = {r.node: r.center for r in N.stars(nodes, edges).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f"}
+
+
+def test_a_long_chain_of_links_is_settled(spark):
+    nodes = [f"n{i:03d}" for i in range(61)]
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a string, b string")
+    got = {r.node: r.center for r in N.stars(spark.createDataFrame([(x,) for x in nodes], "node string"), edges).collect()}
+    assert set(got) == set(nodes)
+    place = {x: i for i, x in enumerate(nodes)}
+    assert all(abs(place[x] - place[c]) <= 1 for x, c in got.items())
+    # no two centres are neighbours, and a node alone has no centre beside it
+    centers = {place[c] for c in got.values()}
+    assert all(i + 1 not in centers for i in centers)
+    assert 61 / 3 <= len(centers) <= 31
+
+
+def test_banding_recall_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abdefgiklmnorstuvz"))
+    cores = {"".join(rng.choice(letters, rng.integers(7, 13))) for _ in range(150)}
+    for c in list(cores):
+        i = int(rng.integers(1, len(c) - 1))
+        cores |= {c[:i] + c[i + 1] + c[i] + c[i + 2 :], c[:i] + str(rng.choice(letters)) + c[i + 1 :], c[:i] + c[i + 1 :]}
+    table = spark.createDataFrame([("person", c) for c in cores], "kind string, core string")
+    found = {(r.a, r.b) for r in N.near_cores(table).collect()}
+    true = {(a, b) for a in cores for b in cores if N.near(a, b)}
+    assert len(found & true) / len(true) >= 0.95 and found <= true
+
+
+def test_blocks_lose_no_link(spark):
+    given = ["William", "Bill", "Wiliam", "W.", "Edward", "Ted", "Theodore", "T.", "", "Elizabeth", "Liz", "Lizbeth", "William J.", "W. J.", "Okafor", "kOafor", "Okafer"]
+    names = [f"{g} Thornburyson".strip() for g in given] + ["Galmora Development Bank", "Galmora Dev. Bk", "Galmora DB", "Galmora Savings Bank", "Galmora SB", "Bank of Galmora", "Galmora Trust"]
+    df = spark.createDataFrame([(i, f"x:{n}", n) for i, n in enumerate(names)], "stance_no long, id string, name string")
+    surfaces = N.spellings(df).select("surface", "kind", "core", "words", "initials", "acronym", "full").distinct()
+    found = {(r.a, r.b) for r in N.links(surfaces).collect()}
+    rows = [tuple(r) for r in surfaces.collect() if r.core]
+    true = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and N.near(x[2], y[2]) and N.agree(x[1:], y[1:]) + (0.01 if x[2] == y[2] else 0.0) > 0.6}
+    assert found == true
