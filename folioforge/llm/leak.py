@@ -7,16 +7,17 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.session import cut
 
 SHINGLE = 5  # words
-BLOCK = 5_000  # items whose shingles are held in memory at a time; more items are taken in further blocks
 ROWS = 1_000
-FEW = 500_000  # candidate documents up to which they go out to the texts; beyond, both sides are shuffled
+FILTER_BITS = 1 << 26  # of the filter that goes out to the documents, whatever the number of items: 8 MB
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
 _HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -46,6 +47,33 @@ def shingles(w: list[str]) -> Iterator[str]:
     return map(" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))
 
 
+class _Hashes(dict):
+    """Hashes of words, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_KNOWN = _Hashes()
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
+
+
+def hashes(w: list[str]) -> np.ndarray:
+    """A 64-bit hash of each shingle of some words."""
+    n = len(w) - SHINGLE + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    each = np.array(list(map(_KNOWN.__getitem__, w)), dtype=np.uint64)
+    out = each[:n] * _POWERS[0]
+    for k in range(1, SHINGLE):
+        out += each[k : k + n] * _POWERS[k]
+    out ^= out >> np.uint64(29)
+    return (out * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 def passages(items: DataFrame, *, run: int) -> DataFrame:
     """(item_id, passage): each item without its question line and without instruction lines.
 
@@ -58,32 +86,51 @@ def passages(items: DataFrame, *, run: int) -> DataFrame:
     return kept.groupBy("item_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(pos, line))), x -> x.line), '\n')").alias("passage"))
 
 
-def _scan(ids: dict[str, int]):
-    schema = pa.schema([("doc_id", pa.int64()), ("hits", pa.list_(pa.int32()))])
+def _mapped(fn, schema: pa.Schema):
+    """Rows of Arrow batches through ``fn``, which gives none or more rows for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = ids.get
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                docs, hits = [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = {k for k in map(get, shingles(words(text))) if k is not None}
-                    if found:
-                        docs.append(doc)
-                        hits.append(sorted(found))
-                yield pa.RecordBatch.from_pydict({"doc_id": docs, "hits": hits}, schema=schema)
+                rows = [x for row in zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True) for x in fn(*row)]
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.names]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def prefixes(passage: list[str], ids: dict[str, int], count: dict[int, int], run: int, changes: int) -> set[int]:
+def filter_of(shingle_rows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit table of the column ``shingle``: the bit of each hash is set. It is merged by the executors and has ``bits`` bits at most."""
+    at = F.pmod("shingle", F.lit(bits))
+    parts = shingle_rows.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(shingle, {bits}) % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    table = np.zeros(bits >> 6, dtype=np.int64)
+    for r in parts.toLocalIterator():
+        table[r.word] = r.bit
+    return table
+
+
+def _scan(table: np.ndarray, run: int, allowed: int):
+    """(doc_id, hits, text) of each document that holds shingles the filter knows; the text only where so many of them begin within one window that it may leak."""
+    need = max(1, run - SHINGLE + 1 - SHINGLE * allowed)
+    bits = len(table) << 6
+
+    def one(doc, text):
+        h = hashes(words(text))
+        at = np.mod(h, bits)
+        met = np.flatnonzero((table[at >> 6] >> (at & 63)) & 1)
+        if len(met):
+            near = len(met) >= need and bool((met[need - 1 :] - met[: len(met) - need + 1] < run + allowed).any())
+            yield doc, np.unique(h[met]).tolist(), text if near else None
+
+    return _mapped(one, pa.schema([("doc_id", pa.int64()), ("hits", pa.list_(pa.int64())), ("text", pa.string())]))
+
+
+def prefixes(own: list[int], count: dict[int, int], run: int, changes: int) -> set[int]:
     """The shingles of a passage one of which any leaking document must hold: the rarest of each window of ``run`` words.
 
-    A window has run - 4 shingles; every changed word destroys five at most, so a leak
+    own: the passage's shingles in their order. A window has run - 4 of them; every changed word destroys five at most, so a leak
     keeps t = run - 4 - 5 * changes of them, and shares one of the run - 4 - t + 1 rarest.
     """
-    own = [ids[s] for s in shingles(passage)]
     size = run - SHINGLE + 1
     left = max(1, size - SHINGLE * changes)
     order = sorted(range(len(own)), key=lambda i: (count.get(own[i], 0), own[i]))
@@ -99,7 +146,8 @@ def longest_run(doc: list[str], item: list[str], places: dict[str, list[int]], r
     """Words of the longest passage part of at least ``run`` words in a document with at most ``run * part`` of them changed; 0 if none.
 
     Only diagonals that share a shingle are walked. Their runs of two or more equal
-    words are chained; between two runs every changed, added or dropped word counts.
+    words are chained; between two runs every changed, added or dropped word counts,
+    and on one diagonal those that differ only.
     """
     allowed = int(run * part)
     # length and position bounds: so many shared shingles must begin within one window of the document
@@ -135,93 +183,78 @@ def longest_run(doc: list[str], item: list[str], places: dict[str, list[int]], r
             far = a + n
             for k in range(i + 1, len(runs)):
                 c, e, _ = runs[k]
-                if e - (b + n) > allowed:
+                if e - (b + n) > 2 * allowed:
                     break
                 gap = max(c - (a + n), e - (b + n))
-                if c >= a + n and e >= b + n and 0 < gap <= left:
-                    far = max(far, reach[k][left - gap])
+                if c >= a + n and e >= b + n and gap > 0:
+                    if c - a == e - b:
+                        gap = sum(x != y for x, y in zip(item[a + n : c], doc[b + n : e], strict=True))
+                    if gap <= left:
+                        far = max(far, reach[k][left - gap])
             reach[i][left] = far
         best = max(best, reach[i][allowed] - a)
     return best if best >= run else 0
 
 
+_PLACES: dict[str, tuple[list[str], dict[str, list[int]]]] = {}
+
+
+def _places(passage: str) -> tuple[list[str], dict[str, list[int]]]:
+    if passage not in _PLACES:
+        if len(_PLACES) > 20_000:
+            _PLACES.clear()
+        at: dict[str, list[int]] = defaultdict(list)
+        w = passage.split()
+        for j, s in enumerate(shingles(w)):
+            at[s].append(j)
+        _PLACES[passage] = w, at
+    return _PLACES[passage]
+
+
 def leaks(documents: DataFrame, items: DataFrame, *, run: int = 25, part: float = 0.1) -> DataFrame:
     """(doc_id, item_id, words): documents that hold ``run`` words running from an item's passage, ``part`` of them changed at most.
 
     Items that share a passage leak together; a document listed twice has two rows.
     Items shorter than ``run`` words, null and empty texts and empty tables give no rows.
-    Items are held in memory in blocks of 5,000, whatever their number, and each
-    block is one pass over the documents; the documents are never gathered.
+    The documents are read once, whatever the number of items: a bit table of the items' shingles,
+    of fixed size, tells which shingles may be theirs, and texts go on only from documents with enough of them in one window.
+    Document frequencies give the rarity order; the rarest shingles of each window of a passage are joined with the
+    documents' by hash, and pairs that share enough are verified word by word.
     """
-    spark = documents.sparkSession
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    out, block = [], []
-    for row in passages(items, run=run).orderBy("item_id").toLocalIterator():
-        block.append((row.item_id, words(row.passage)))
-        if len(block) == BLOCK:
-            out.append(_leaks_of(texts, block, run, part))
-            block = []
-    if block:
-        out.append(_leaks_of(texts, block, run, part))
-    if not out:
-        return spark.createDataFrame([], "doc_id long, item_id long, words int")
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
-
-
-def _leaks_of(texts: DataFrame, block: list[tuple[int, list[str]]], run: int, part: float) -> DataFrame:
-    spark = texts.sparkSession
-    shared: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for item, w in block:
-        if len(w) >= run:
-            shared[tuple(w)].append(item)
-    groups = [(list(w), own) for w, own in shared.items()]
-    ids: dict[str, int] = {}
-    for w, _ in groups:
-        for s in shingles(w):
-            ids.setdefault(s, len(ids))
     changes = int(run * part)
-    held = cut(texts.mapInArrow(_scan(ids), "doc_id long, hits array<int>"), "shingle-hits")
-    each = held.select("doc_id", F.explode("hits").alias("shingle"))
-    # as many rows as the block has shingles, whatever the number of documents
-    count = {r.shingle: r.n for r in each.groupBy("shingle").agg(F.count("*").alias("n")).toLocalIterator()}
-    need = [(k, g) for g, (w, _) in enumerate(groups) for k in prefixes(w, ids, count, run, changes)]
-    prefix = spark.createDataFrame(need, "shingle int, grp int") if need else spark.createDataFrame([], "shingle int, grp int")
-    pairs = each.join(F.broadcast(prefix), "shingle").groupBy("doc_id").agg(F.collect_set("grp").alias("groups"))
-    owned = [{ids[s] for s in shingles(w)} for w, _ in groups]
     overlap = max(1, run - SHINGLE + 1 - SHINGLE * changes)
 
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int32())])
-        for batch in batches:
-            kept = [(doc, g) for doc, hits, met in zip(*(c.to_pylist() for c in batch.columns), strict=True) for g in met if len(owned[g].intersection(hits)) >= overlap]
-            yield pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in kept], "grp": [g for _, g in kept]}, schema=schema)
-
-    counted = held.join(pairs, "doc_id").select("doc_id", "hits", "groups").mapInArrow(enough, "doc_id long, grp int")
-    near = cut(counted.groupBy("doc_id").agg(F.collect_set("grp").alias("groups")), "leak-candidates")
-    # the texts are not moved while the candidates are few; their number is counted first
-    candidates = texts.join(F.broadcast(near) if near.count() <= FEW else near, "doc_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: list[dict[str, list[int]]] = []
-        for w, _ in groups:
-            at: dict[str, list[int]] = defaultdict(list)
-            for j, s in enumerate(shingles(w)):
-                at[s].append(j)
-            places.append(at)
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32())])
-        for batch in batches:
-            found: dict[str, list] = {"doc_id": [], "item_id": [], "words": []}
-            for doc, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = words(text)
-                for g in own:
-                    n = longest_run(w, groups[g][0], places[g], run, part)
-                    for item in groups[g][1] if n else ():
-                        found["doc_id"].append(doc)
-                        found["item_id"].append(item)
-                        found["words"].append(n)
-            yield pa.RecordBatch.from_pydict(found, schema=schema)
-
-    return candidates.select("doc_id", "text", "groups").mapInArrow(verify, "doc_id long, item_id long, words int")
+    def own(item, passage):
+        w = words(passage)
+        if len(w) >= run:
+            yield item, " ".join(w), hashes(w).tolist()
+
+    schema = pa.schema([("item_id", pa.int64()), ("passage", pa.string()), ("shingles", pa.list_(pa.int64()))])
+    of_items = cut(passages(items, run=run).select("item_id", "passage").mapInArrow(_mapped(own, schema), "item_id long, passage string, shingles array<long>"), "leak-items")
+    groups = of_items.select(F.xxhash64("passage").alias("grp"), "passage", "shingles").dropDuplicates(["grp"])
+    table = filter_of(groups.select(F.explode("shingles").alias("shingle")))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    held = cut(texts.mapInArrow(_scan(table, run, changes), "doc_id long, hits array<long>, text string"), "shingle-hits")
+
+    known = groups.select(F.explode("shingles").alias("shingle")).distinct()
+    counts = held.select(F.explode("hits").alias("shingle")).join(known, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("n"))
+    # as many rows as a passage has shingles are gathered for each
+    ranked = groups.select("grp", F.posexplode("shingles").alias("pos", "shingle")).join(counts, "shingle", "left").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", F.coalesce("n", F.lit(0)).alias("n")))).alias("own"))
+
+    def rarest(grp, each):
+        for s in prefixes([x["shingle"] for x in each], {x["shingle"]: x["n"] for x in each}, run, changes):
+            yield grp, s
+
+    prefix = ranked.mapInArrow(_mapped(rarest, pa.schema([("grp", pa.int64()), ("shingle", pa.int64())])), "grp long, shingle long")
+    likely = held.where(F.col("text").isNotNull())
+    pairs = likely.select("doc_id", F.explode("hits").alias("shingle")).join(prefix, "shingle").select("doc_id", "grp").distinct()
+    met = pairs.join(likely, "doc_id").join(groups, "grp").where(F.size(F.array_intersect("hits", "shingles")) >= overlap)
+
+    def verify(doc, grp, text, passage):
+        item, places = _places(passage)
+        n = longest_run(words(text), item, places, run, part)
+        if n:
+            yield doc, grp, n
+
+    found = met.select("doc_id", "grp", "text", "passage").mapInArrow(_mapped(verify, pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("words", pa.int32())])), "doc_id long, grp long, words int")
+    return found.join(of_items.select("item_id", F.xxhash64("passage").alias("grp")), "grp").select("doc_id", "item_id", "words")

@@ -62,15 +62,31 @@ def test_prefixes_never_lose_a_leak():
     rng = random.Random(9)
     for _ in range(40):
         p = [str(rng.randrange(60)) + "x" for _ in range(rng.randrange(25, 60))]
-        ids: dict = {}
-        for s in leak.shingles(p):
-            ids.setdefault(s, len(ids))
-        need = leak.prefixes(p, ids, {k: rng.randrange(9) for k in ids.values()}, 25, 2)
+        own = leak.hashes(p).tolist()
+        need = leak.prefixes(own, {k: rng.randrange(9) for k in own}, 25, 2)
         a = rng.randrange(len(p) - 24)
         doc = p[a : a + 25]
         for j in rng.sample(range(25), 2):
             doc[j] = "changed"
-        assert need & {ids[s] for s in leak.shingles(doc) if s in ids}
+        assert need & set(leak.hashes(doc).tolist())
+
+
+def test_changes_close_to_each_other_count_once_each():
+    item = [f"w{i}" for i in range(40)]
+    places = {s: [j] for j, s in enumerate(leak.shingles(item))}
+    doc = [*item[5:16], "other", item[17], "another", *item[19:30]]
+    assert leak.longest_run(doc, item, places, 25, 0.1) == 25
+    assert leak.longest_run([*item[5:16], "a", "b", "c", *item[19:30]], item, places, 25, 0.1) == 0
+
+
+def test_the_filter_only_adds(spark, monkeypatch):
+    table = leak.filter_of(spark.createDataFrame([(5,), (-7,), (64 + 5,)], "shingle long"), 128)
+    assert [int(table[(h % 128) >> 6] >> (h % 128 & 63)) & 1 for h in (5, -7, 69, 6)] == [1, 1, 1, 0]
+    words = [f"v{i}" for i in range(60)]
+    d, i = leak_tables(spark, [(1, " ".join(words), 0), (2, " ".join(reversed(words)), 0)], [(9, " ".join(words[10:50]), "q")])
+    monkeypatch.setattr(leak, "FILTER_BITS", 64)
+    monkeypatch.setattr(leak.filter_of, "__defaults__", (64,))
+    assert [(r.doc_id, r.item_id, r.words) for r in leak.leaks(d, i).collect()] == [(1, 9, 40)]
 
 
 def test_spread_and_total():
