@@ -136,6 +136,17 @@ def test_rules_are_learned_and_exported():
     assert quality.rules_sql(rules).startswith("CASE WHEN ") and quality.rules_sql([]) == "'prose'"
 
 
+def test_rules_are_kept_when_they_beat_the_default(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["The ledger of the bank was not in order.", "It is a habit that dies hard, as they say.", "Nobody had noticed it for most of the year."]) for _ in range(n))
+    # these raters call long texts other, which only labels can tell
+    rows = [(i, prose(3 if i % 2 else 40), "prose" if i % 2 else "junk") for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label string")
+    rules = quality.fit(docs, labels)
+    assert rules != quality.DEFAULT_RULES and {r.doc_id for r in quality.not_prose(docs, labels).collect()} == set(range(0, 60, 2))
+    assert quality.fit(docs, labels.limit(0)) == quality.DEFAULT_RULES
+
+
 def test_common_words_as_a_tree():
     pattern = re.compile(rf"\b{quality.any_of(quality.COMMON)}\b")
     assert all(pattern.fullmatch(w) for w in quality.COMMON) and not pattern.fullmatch("thei")
