@@ -33,6 +33,20 @@ def test_pieces_cover_the_text(spark):
         pieces.pieces(df, limit=5, overlap=5)
 
 
+def test_pieces_of_text_without_blanks(spark):
+    text = "。".join("漢字" * 60 for _ in range(30)) + "z" * 2000
+    df = spark.createDataFrame([(1, text), (2, "short one")], "article_id long, body string")
+    rows = sorted((r for r in pieces.pieces(df, limit=400, overlap=20, chars=1).collect() if r.article_id == 1), key=lambda r: r.piece_no)
+    assert len(rows) > 10 and all(len(r.text) <= 400 for r in rows) and rows[0].text.endswith("。")
+    end = 0
+    for r in rows:
+        assert text[r.start : r.start + len(r.text)] == r.text and (not end or end - r.start == 20)
+        end = r.start + len(r.text)
+    assert end == len(text)
+    assert pieces.pieces(df).count() == 2
+    assert all(r.same and r.within for r in pieces.cover(df).collect())
+
+
 def leak_tables(spark, docs, items):
     return spark.createDataFrame(docs, "doc_id long, text string, words int"), spark.createDataFrame(items, "item_id long, text string, question string")
 
