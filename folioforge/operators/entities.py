@@ -32,11 +32,14 @@ def nodes(seen: DataFrame) -> DataFrame:
     return seen.groupBy("id", "name", "type").agg(F.count_distinct("slug").alias("article_count"), F.sum("mentions").alias("total_mentions"))
 
 
-def edges(seen: DataFrame, *, least: int = 1) -> DataFrame:
+def edges(seen: DataFrame, *, least: int = 1, most: int | None = None) -> DataFrame:
     """(source, target, weight): how many articles name both entities, source before target.
 
-    An article's pairs come from its own short list (ten names of each type at most), not from a join over articles.
+    An article's pairs come from its own list, not from a join over articles. Their number grows with the square of that list;
+    where records hold more than the few names of each type they are stored with, ``most`` keeps the most mentioned of each type, ties by name.
     """
+    if most is not None:
+        seen = seen.withColumn("_n", F.row_number().over(W.partitionBy("slug", "type").orderBy(F.desc("mentions"), "name"))).where(F.col("_n") <= most)
     ids = seen.groupBy("slug").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     rest = F.explode(F.transform("ids", lambda a, i: F.struct(a.alias("source"), F.slice("ids", i + 2, F.size("ids")).alias("others")))).alias("x")
     pairs = ids.select("slug", rest).select("slug", "x.source", F.explode("x.others").alias("target"))
@@ -151,5 +154,7 @@ def quotables(rows: DataFrame, *, sentence: str = "sentence", group: str = "enti
     """(group, place, sentence, score, candidates): each group's most quotable sentences, each once, ties by text."""
     fit = rows.where(T.is_quotable(sentence)).select(F.col(group).alias("group"), F.col(sentence).alias("sentence"), S.quotability(sentence).alias("score")).where(F.col("score") >= least_score)
     once = fit.groupBy("group", "sentence").agg(F.max("score").alias("score"))
-    by = W.partitionBy("group")
-    return once.withColumn("candidates", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), "sentence"))).where(F.col("place") <= top).select("group", "place", "sentence", "score", "candidates")
+    n = once.groupBy(F.col("group").alias("of")).agg(F.count("*").alias("candidates"))
+    # ranked without another window function beside, so that Spark keeps ``top`` rows a group before it shuffles
+    best = once.withColumn("place", F.row_number().over(W.partitionBy("group").orderBy(F.desc("score"), "sentence"))).where(F.col("place") <= top)
+    return best.join(n, F.col("group").eqNullSafe(F.col("of"))).select("group", "place", "sentence", "score", "candidates")

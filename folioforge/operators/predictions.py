@@ -50,9 +50,9 @@ def _rank(c: Column, order: tuple[str, ...]) -> Column:
 def notable(rows: DataFrame, *, year: int | None = None, limit: int = 6, per_article: int = 1, only: str | None = None) -> DataFrame:
     """(place, claim, article, verdict): the first ``limit`` claims by verdict, conviction and position, each claim once and so many per article.
 
-    The picks depend on one another, so they are made one by one; but only the first ``per_article`` distinct claims
-    of an article can ever be picked, and of those the best rows by rank: the loop sees
-    at most limit x (limit + 1) rows, not the table.
+    The picks depend on one another, so they are made one by one, from few rows: at most ``limit`` articles can be full, so a claim
+    needs its ``limit`` best articles only; an article gives ``per_article`` picks and is passed over for
+    claims already picked ``limit`` times at most; so limit x (2 x limit + per_article + 1) rows by rank always suffice.
     """
     v = F.col("llm_verdict") if only else verdict()
     order = (*RESOLVED, "unfalsifiable", "pending")
@@ -63,9 +63,10 @@ def notable(rows: DataFrame, *, year: int | None = None, limit: int = 6, per_art
         base = base.where(T.year_of("article_date") == str(year))
     ranked = base.select("claim", F.coalesce(_given("article_slug"), F.col("article_title"), F.lit("")).alias("article"), "verdict", F.struct(_rank(F.col("verdict"), order).alias("v"), _rank(F.col("confidence_language"), CONFIDENCE).alias("c"), F.col("_pos").alias("p")).alias("key"))
     once = ranked.groupBy("claim", "article").agg(F.min("key").alias("key"), F.min_by("verdict", "key").alias("verdict"))
-    near = once.withColumn("n", F.row_number().over(W.partitionBy("article").orderBy("key"))).where((F.col("n") <= per_article + limit) | (F.col("article") == ""))
+    few = once.withColumn("n", F.row_number().over(W.partitionBy("claim").orderBy("key"))).where(F.col("n") <= limit)
+    near = few.withColumn("n", F.row_number().over(W.partitionBy("article", F.when(F.col("article") == "", F.col("claim"))).orderBy("key"))).where(F.col("n") <= per_article + limit)
     out, seen, used = [], set(), {}
-    for r in near.orderBy("key").limit(limit * (limit + 1) * max(1, per_article)).collect():
+    for r in near.orderBy("key", "claim", "article").limit(limit * (2 * limit + per_article + 1)).collect():
         if r.claim in seen or r.article and used.get(r.article, 0) >= per_article:
             continue
         seen.add(r.claim)
@@ -112,7 +113,7 @@ def faithfulness(rows: DataFrame) -> DataFrame:
     c = rows.agg(F.count("*").alias("n"), F.count_if(a).alias("na"), F.sum(F.when(a, total)).alias("t"), F.sum(F.when(a, good)).alias("g"), F.count_if(~a & shy).alias("s"), F.count_if(a & shy).alias("f"), F.count_if(a & cited).alias("c"))
     rate = lambda x, y: F.round(F.coalesce(F.try_divide(F.col(x).cast("double") if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y), F.lit(0.0)), 4)
     return c.select(
-        F.col("n").alias("n_questions"), F.col("na").alias("n_answerable"), rate("g", "t").alias("grounding_rate"), F.when(F.coalesce("t", F.lit(0)) > 0, F.round(1 - rate("g", "t"), 4)).otherwise(F.lit(0.0) if False else F.when(F.col("na") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("hallucination_rate"),
+        F.col("n").alias("n_questions"), F.col("na").alias("n_answerable"), rate("g", "t").alias("grounding_rate"), F.when(F.coalesce("t", F.lit(0)) > 0, F.round(1 - rate("g", "t"), 4)).when(F.col("na") > 0, 1.0).otherwise(0.0).alias("hallucination_rate"),
         rate("s", F.col("n") - F.col("na")).alias("abstention_accuracy"), rate("f", "na").alias("false_abstention_rate"), rate("c", "na").alias("citation_coverage"),
     )
 

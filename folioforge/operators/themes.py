@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
+from folioforge.session import cut
 
 
 def arc(articles: DataFrame, *, theme: str = "cluster_id") -> DataFrame:
@@ -101,4 +102,6 @@ def cluster(documents: DataFrame, *, key: str = "doc_id", text: str = "text", ks
     model = best[1]
     rows = [(i, [counter.vocabulary[j] for j in c.argsort()[::-1][:15]]) for i, c in enumerate(model.clusterCenters())]
     spark = documents.sparkSession
-    return model.transform(vectors).select(key, F.col("prediction").alias("cluster_id")), spark.createDataFrame(rows, "cluster_id int, keywords array<string>")
+    assigned = cut(model.transform(vectors).select(key, F.col("prediction").alias("cluster_id")), "themes")
+    vectors.unpersist()
+    return assigned, spark.createDataFrame(rows, "cluster_id int, keywords array<string>")

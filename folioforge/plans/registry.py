@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import cleaning
 from folioforge.functions import scores as S
 from folioforge.functions import text as T
-from folioforge.operators import corpus, entities, evaluation, linguistic, reading, retrieval, seams, themes, training
+from folioforge.operators import corpus, entities, evaluation, linguistic, predictions, reading, retrieval, seams, themes, training
 from folioforge.session import table
 from folioforge.streaming import inbox
 
@@ -457,3 +457,78 @@ def _(s, d):
 @query("hashed_vectors")
 def _(s, d):
     return seams.embed(table(s, d, "documents"), key="doc_id", text="text")
+
+
+# Claims, judged answers and blind trials are made of the columns of the test tables, so that the operators run over whole tables.
+def _claims(s, d):
+    o = table(s, d, "stance_observations").groupBy("obs_id").agg(*(F.min(c).alias(c) for c in ("sentence", "slug", "date", "stance")))
+    told = lambda c: F.when(F.col("stance") > 0, "vindicated").when(F.col("stance") < 0, "wrong").when(c, "mixed")
+    return o.select(
+        F.col("obs_id").alias("_pos"), F.col("sentence").alias("claim"), F.col("slug").alias("article_slug"), F.lit("").alias("article_title"), F.col("date").alias("article_date"), F.when(F.col("obs_id") % 2 == 0, told(F.lit(False))).alias("human_verdict"),
+        F.when(F.col("obs_id") % 3 == 0, told(F.lit(True))).alias("evidence_verdict"), F.when(F.col("obs_id") % 5 == 0, told(F.lit(True))).alias("llm_verdict"), F.lit("").alias("status"), F.element_at(F.array(*map(F.lit, predictions.CONFIDENCE)), (F.col("obs_id") % 3 + 1).cast("int")).alias("confidence_language"),
+    )
+
+
+_TOLD = "CASE WHEN stance > 0 THEN 'vindicated' WHEN stance < 0 THEN 'wrong' WHEN {0} THEN 'mixed' END"
+_CLAIMS = f"""claims AS (SELECT obs_id AS _pos, sentence AS claim, slug, coalesce(CASE WHEN obs_id % 2 = 0 THEN {_TOLD.format('false')} END, CASE WHEN obs_id % 3 = 0 THEN {_TOLD.format('true')} END, CASE WHEN obs_id % 5 = 0 THEN {_TOLD.format('true')} END, 'pending') AS verdict,
+ ['certain', 'confident', 'hedged'][obs_id % 3 + 1] AS confidence FROM (SELECT obs_id, min(sentence) AS sentence, min(slug) AS slug, min(stance) AS stance FROM stance_observations GROUP BY obs_id))"""
+
+
+@query("prediction_tally", f"WITH {_CLAIMS} SELECT confidence AS confidence_language, verdict, count(*) AS n FROM claims GROUP BY ALL")
+def _(s, d):
+    return predictions.tally(_claims(s, d), verdict_column=predictions.verdict(), by=("confidence_language",))
+
+
+@query("prediction_calibration", f"""WITH {_CLAIMS}, t AS (SELECT confidence, count(*) FILTER (verdict = 'vindicated') AS vindicated, count(*) FILTER (verdict = 'mixed') AS mixed, count(*) FILTER (verdict = 'wrong') AS wrong FROM claims GROUP BY confidence)
+ SELECT *, vindicated + mixed + wrong AS resolved, round((vindicated + 0.5::DOUBLE * mixed) / (vindicated + mixed + wrong), 3) AS accuracy FROM t""")
+def _(s, d):
+    return predictions.calibration(_claims(s, d), verdict_column=predictions.verdict())
+
+
+@query("conviction_board", f"WITH {_CLAIMS} SELECT _pos, claim, confidence AS confidence_language FROM claims WHERE verdict = 'wrong' AND confidence <> 'hedged' ORDER BY confidence, _pos LIMIT 5")
+def _(s, d):
+    return predictions.conviction_board(_claims(s, d), "wrong").select("_pos", "claim", "confidence_language")
+
+
+@query("open_claims", f"WITH {_CLAIMS} SELECT _pos FROM claims JOIN (SELECT obs_id, min(stance) AS stance FROM stance_observations GROUP BY obs_id) ON obs_id = _pos WHERE NOT (_pos % 2 = 0 AND stance IS NOT NULL AND stance <> 0)")
+def _(s, d):
+    return predictions.open_claims(_claims(s, d)).select("_pos")
+
+
+@query("notable_claims")
+def _(s, d):
+    return predictions.notable(_claims(s, d))
+
+
+@query("faithfulness_rates", """WITH q AS (SELECT coalesce(answerable, false) AS a, item_id % 7 AS t, least(item_id % 5, item_id % 7) AS g, item_id % 3 = 0 AS shy, coalesce(topic_hint, '') <> '' AS cited FROM eval_items),
+ c AS (SELECT count(*) AS n, count(*) FILTER (a) AS na, sum(t) FILTER (a) AS t, sum(g) FILTER (a) AS g, count(*) FILTER (NOT a AND shy) AS s, count(*) FILTER (a AND shy) AS f, count(*) FILTER (a AND cited) AS c FROM q)
+ SELECT n AS n_questions, na AS n_answerable, round(g::DOUBLE / t, 4) AS grounding_rate, round(1 - round(g::DOUBLE / t, 4), 4) AS hallucination_rate, round(s::DOUBLE / (n - na), 4) AS abstention_accuracy, round(f::DOUBLE / na, 4) AS false_abstention_rate, round(c::DOUBLE / na, 4) AS citation_coverage FROM c""")
+def _(s, d):
+    i = F.col("item_id")
+    judged = table(s, d, "eval_items").select("answerable", (i % 7).cast("int").alias("claims_total"), (i % 5).cast("int").alias("claims_grounded"), (i % 3 == 0).alias("abstained"), (F.coalesce("topic_hint", F.lit("")) != "").alias("cited"))
+    return predictions.faithfulness(judged)
+
+
+def _trials(s, d):
+    return table(s, d, "eval_items").select(F.col("item_id").alias("trial"), F.when(F.col("item_id") % 3 == 0, F.array(*map(F.lit, ("real", "tuned", "plain")))).when(F.col("item_id") % 3 == 1, F.array(*map(F.lit, ("tuned", "real", "plain")))).otherwise(F.array(*map(F.lit, ("real", "plain", "tuned")))).alias("ranking"))
+
+
+_TRIALS = "trials AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN ['real', 'tuned', 'plain'] WHEN 1 THEN ['tuned', 'real', 'plain'] ELSE ['real', 'plain', 'tuned'] END AS r FROM eval_items), places AS (SELECT item_id, unnest(r) AS source, unnest([1, 2, 3]) AS place FROM trials)"
+
+
+@query("trial_win_rates", f"WITH {_TRIALS} SELECT source, count(*) FILTER (place = 1) AS wins, count(*) AS appearances, count(*) FILTER (place = 1) / count(*) AS win_rate, avg(place) AS avg_rank FROM places GROUP BY source")
+def _(s, d):
+    return predictions.win_rates(_trials(s, d))
+
+
+@query("trial_head_to_head", f"WITH {_TRIALS} SELECT a.source AS better, b.source AS worse, count(*) AS n FROM places a JOIN places b ON a.item_id = b.item_id AND a.place < b.place GROUP BY ALL")
+def _(s, d):
+    return predictions.head_to_head(_trials(s, d))
+
+
+@query("stance_from_bodies")
+def _(s, d):
+    """Sentences of bodies that mention an entity, scored by tone, and the mean of each entity and year."""
+    bodies = corpus.canonical_entries(table(s, d, "articles"))
+    said = entities.mention_sentences(bodies, entities.mentions(table(s, d, "entity_records"), aliases={}))
+    return said.withColumn("tone", S.tone("sentence")).groupBy(*[c for c in ("id", "name") if c in said.columns]).agg(F.avg("tone").alias("mean_tone"), F.count("*").alias("sentences"), F.count_distinct("slug").alias("articles"))

@@ -16,11 +16,17 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def manifest(entries: DataFrame, path: str) -> None:
-    """A manifest in one file; its total is counted as it is written. Entries are as many as a manifest lists."""
-    listed = entries.select(F.struct(*[c for c in entries.columns if c != "_pos"]).alias("a"), *(["_pos"] if "_pos" in entries.columns else [F.lit(0).alias("_pos")]))
-    whole = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "a"))), lambda x: x["a"]).alias("articles"))
-    whole.select(F.current_timestamp().cast("string").alias("last_updated"), F.size("articles").alias("total_articles"), "articles").coalesce(1).write.mode("overwrite").json(path)
+def manifest(entries: DataFrame, path: str, *, whole: int = 100_000) -> None:
+    """A manifest and its total: one JSON document for up to ``whole`` entries; beyond, ``path/summary`` and the entries as JSON lines in ``path/articles``, which no single task gathers."""
+    own = [c for c in entries.columns if c != "_pos"]
+    at = "_pos" if "_pos" in entries.columns else F.lit(0).alias("_pos")
+    n = entries.count()
+    if n > whole:
+        entries.sparkSession.range(1).select(F.current_timestamp().cast("string").alias("last_updated"), F.lit(n).alias("total_articles")).write.mode("overwrite").json(f"{path}/summary")
+        (entries.orderBy("_pos") if "_pos" in entries.columns else entries).select(*own).write.mode("overwrite").json(f"{path}/articles")
+        return
+    listed = entries.select(F.struct(*own).alias("a"), at).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "a"))), lambda x: x["a"]).alias("articles"))
+    listed.select(F.current_timestamp().cast("string").alias("last_updated"), F.size("articles").alias("total_articles"), "articles").coalesce(1).write.mode("overwrite").json(path)
 
 
 def report(summary: DataFrame, records: DataFrame, path: str) -> None:

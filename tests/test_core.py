@@ -76,6 +76,7 @@ def test_entity_graph(spark):
     assert n["Federal Reserve"].article_count == 3 and n["Federal Reserve"].total_mentions == 15 and n["Federal Reserve"].degree == 2 and n["Buffett"].degree == 0
     assert e == {("org:Federal Reserve", "person:Jerome Powell"): 3, ("org:European Central Bank", "org:Federal Reserve"): 2, ("org:European Central Bank", "person:Jerome Powell"): 2}
     assert entities.edges(seen).where("weight = 1").count() == 1
+    assert entities.edges(seen, most=100).count() == entities.edges(seen).count()
     assert entities.mentions(spark.createDataFrame([], RECORDS)).count() == 0
 
 
@@ -208,6 +209,10 @@ def test_predictions(spark):
     assert cal["certain"].resolved == 3 and cal["certain"].accuracy == 0.5 and cal["hedged"].accuracy is None
     assert [r.claim for r in predictions.notable(df, year=2020).orderBy("place").collect()] == ["c0", "c3", "c2"]
     assert [r.claim for r in predictions.notable(df, only="vindicated", per_article=2).orderBy("place").collect()] == ["c0", "c1"]
+    # a claim in a hundred articles must not crowd out the others
+    many = [(i, "same", f"s{i:03d}", "", "2020", "vindicated", None, None, "", "certain") for i in range(100)] + [(200 + i, f"own {i}", f"t{i}", "", "2020", "vindicated", None, None, "", "certain") for i in range(10)]
+    many += [(300 + i, f"more {i}", "s000", "", "2020", "vindicated", None, None, "", "certain") for i in range(50)]
+    assert [r.claim for r in predictions.notable(spark.createDataFrame(many, schema)).orderBy("place").collect()] == ["same", *(f"own {i}" for i in range(5))]
     rag = spark.createDataFrame([(True, 4, 4, False, True), (True, 4, 2, False, False), (False, 0, 0, True, False), (False, 0, 0, False, False)], "answerable boolean, claims_total int, claims_grounded int, abstained boolean, cited boolean")
     f = predictions.faithfulness(rag).first()
     assert (f.grounding_rate, f.hallucination_rate, f.abstention_accuracy, f.false_abstention_rate) == (0.75, 0.25, 0.5, 0.0)

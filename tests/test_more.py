@@ -6,10 +6,17 @@ from folioforge.operators import evaluation as E
 from folioforge.operators import seams
 
 
-def test_captions():
-    text = "MADRID, SPAIN - 2019/04/03: A view of the bank [+] via Getty Images\n\nCPI, PCE - these two measures diverged. He said so."
-    assert C.without_captions(text) == "CPI, PCE - these two measures diverged. He said so."
-    assert C.without_captions("Plain. (Photo by A B/AFP)\n\n\n\nNext") == "Plain. \n\nNext"
+def test_captions(spark):
+    rows = {
+        "MADRID, SPAIN - 2019/04/03: A view of the bank [+] via Getty Images\n\nCPI, PCE - these two measures diverged. He said so.": "CPI, PCE - these two measures diverged. He said so.",
+        "Plain. (Photo by A B/AFP)\n\n\n\nNext": "Plain. \n\nNext",
+        # a caption that runs over the next dateline, and no sign within 400 characters
+        "OSLO - a note ROME - a second one [+] ends here. Kept": "Kept",
+        "PARIS - " + "x" * 400 + " [+] y": "PARIS - " + "x" * 400 + " y",
+        "": "",
+    }
+    got = [r.x for r in spark.createDataFrame([(k,) for k in rows], "body string").coalesce(1).select(C.strip_wire("body").alias("x")).collect()]
+    assert got == list(rows.values())
 
 
 def test_cleaning_column(spark):
