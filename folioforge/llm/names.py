@@ -341,6 +341,10 @@ def near_cores(surfaces: DataFrame) -> DataFrame:
     cores = surfaces.where("core <> ''").select("kind", "core").distinct()
     banded = cut(cores.mapInArrow(_band_rows, "kind string, core string, key long"), "name-bands")
     met = banded.alias("x").join(banded.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.core") < F.col("y.core"))).select("x.kind", F.col("x.core").alias("a"), F.col("y.core").alias("b")).distinct()
+    # a swap of letters is two plain edits, so no near pair has more than twice its edits; the JVM drops the others
+    shorter = F.least(F.length("a"), F.length("b"))
+    most = F.when(shorter < 7, 1).when(shorter < 12, 2).otherwise(3)
+    met = met.where(F.levenshtein("a", "b", 6).between(0, 2 * most))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
